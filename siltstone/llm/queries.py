@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import clean_kind, clean_name
 from ..session import table
+from .bpe import encode
+from .mixing import Mixture
 from .provenance import classify_files
+from .terms import marked, term_bitmaps, term_frequencies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +32,50 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p2_file_sorts(spark: SparkSession, d: str) -> DataFrame:
     return classify_files(table(spark, d, "files"), table(spark, d, "upstream_files"))
+
+
+@_query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_term_frequencies(spark, d).filter("mark IS NOT NULL").select("kind", "name", "mark")
+
+
+@_query
+def p5_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    symbols = table(spark, d, "symbols").select(
+        F.col("symbol_id").alias("id"), F.col("file_id").alias("record"), clean_kind("kind").alias("kind"), clean_name("name").alias("name")
+    )
+    bitmaps = term_bitmaps(symbols)
+    remaining = symbols.filter("kind IS NOT NULL AND name IS NOT NULL").agg(F.countDistinct("record")).first()[0]  # one number
+    return marked(term_frequencies(bitmaps), remaining)
+
+
+_TERMS_SQL = """
+WITH u AS (
+  SELECT DISTINCT symbol_id, file_id, lower(trim(kind, ' ' || chr(9))) AS kind, trim(name, ' ' || chr(9)) AS name
+  FROM symbols WHERE kind IS NOT NULL AND name IS NOT NULL
+), t AS (
+  SELECT kind, name, count(*) AS occurrences, count(DISTINCT file_id) AS n_files FROM u GROUP BY kind, name
+), m AS (
+  SELECT *, CASE WHEN n_files = 1 THEN 'rare' WHEN n_files >= 0.05 * (SELECT count(DISTINCT file_id) FROM u) THEN 'common' END AS mark FROM t)
+"""
+SQL["p5_found"] = _TERMS_SQL + "SELECT kind, name, mark FROM m WHERE mark IS NOT NULL"
+SQL["p5_term_frequencies"] = _TERMS_SQL + "SELECT kind, name, occurrences, n_files, mark FROM m"
+
+
+@_query
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"))
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@_query
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).mixture()
+
+
+@_query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
