@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_kind, clean_name
 from ..session import table
 from .bpe import encode
+from .garbled import find
 from .mixing import Mixture
 from .provenance import classify_files
 from .terms import marked, term_bitmaps, term_frequencies
@@ -79,3 +80,13 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
+
+
+@_query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find(table(spark, d, "documents")).select("doc_id")
+
+
+@_query
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return find(table(spark, d, "documents"))
