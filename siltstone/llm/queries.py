@@ -14,6 +14,7 @@ from .garbled import find
 from .mixing import Mixture
 from .provenance import classify_files
 from .terms import marked, term_bitmaps, term_frequencies
+from .validity import check_files, rates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,21 @@ def p2_file_sorts(spark: SparkSession, d: str) -> DataFrame:
     return classify_files(table(spark, d, "files"), table(spark, d, "upstream_files"))
 
 
+@_query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return check_files(table(spark, d, "files"), detail=False).filter("NOT valid").select("file_id")
+
+
+@_query
+def p3_invalid_files(spark: SparkSession, d: str) -> DataFrame:
+    return check_files(table(spark, d, "files")).filter("NOT valid")
+
+
+@_query
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(check_files(table(spark, d, "files"), detail=False))
+
+
 @_query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_term_frequencies(spark, d).filter("mark IS NOT NULL").select("kind", "name", "mark")
