@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import materialize
 from .index import WEIGHTS, references_of, symbols_of
 from .resolve import _KEY, resolve, targets
 
@@ -60,7 +61,7 @@ def build(files: DataFrame) -> DataFrame:
     """All edges of the files' graph: resolved references and test edges."""
     refs = references_of(files).withColumn("kind", F.lower(F.trim("kind")))
     symbols = symbols_of(files)
-    found = targets(resolve(files, refs, symbols), files, symbols)
+    found = targets(materialize(resolve(files, refs, symbols), "resolved"), files, symbols)
     keyed = found.withColumnsRenamed({c: f"_{c}" for c in _KEY})
     same = [F.col(c) == F.col(f"_{c}") for c in _KEY]
     resolved = refs.filter("target_file is null").join(keyed, same[0] & same[1] & same[2] & same[3])

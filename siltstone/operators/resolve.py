@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.text import normalize_path
+from ..session import materialize
 
 _KEY = ["repo", "path", "language", "target_name"]
 
@@ -116,7 +117,7 @@ def by_symbol(asks: DataFrame, symbols: DataFrame) -> DataFrame:
 
     A file's own definitions don't count, except for Java.
     """
-    bag = definitions(symbols)
+    bag = materialize(definitions(symbols), "bag")
 
     def totals(by: list[str], tag: str) -> DataFrame:
         g = bag.withColumn("dir", F.expr(t.dirname("path"))).withColumn("top", F.expr(_top("path"))).groupBy("repo", "name", *by)
@@ -152,14 +153,15 @@ def resolve(files: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
     ``how`` is ``path``, ``class``, ``folder``, ``symbol`` or ``ambiguous``; unresolved asks (external
     names) are left out. Ambiguous asks are not expanded here.
     """
-    asks = asks_of(refs)
-    paths = by_path(asks, files)
-    rest = asks.join(paths.select(*_KEY), _KEY, "left_anti")
-    classes = by_class(rest, files)
-    rest = rest.join(classes.select(*_KEY), _KEY, "left_anti")
-    folders = by_folder(rest, files).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_targets"), F.min("target").alias("target"))
-    rest = rest.join(folders.select(*_KEY), _KEY, "left_anti")
-    names = by_symbol(rest, symbols)
+    # Each stage works on what the one before left, written once: the plan of a stage stays small.
+    asks = materialize(asks_of(refs), "asks")
+    paths = materialize(by_path(asks, files), "paths")
+    rest = materialize(asks.join(paths.select(*_KEY), _KEY, "left_anti"), "rest")
+    classes = materialize(by_class(rest, files), "classes")
+    folders = materialize(by_folder(rest, files).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_targets"), F.min("target").alias("target")), "folders")
+    met = classes.select(*_KEY).unionByName(folders.select(*_KEY))
+    folders = folders.join(classes.select(*_KEY), _KEY, "left_anti")
+    names = by_symbol(rest.join(met, _KEY, "left_anti"), symbols)
     one = F.lit(1).cast("bigint").alias("n_targets")
     none = F.lit(None).cast("string").alias("lookup")
     return (
