@@ -508,3 +508,46 @@ def evidence_query(spark: SparkSession, d: str) -> DataFrame:
 def evidence_files(spark: SparkSession, d: str) -> DataFrame:
     f = materialize(files(spark, d), "files")
     return evidence.file_evidence(f, edges(spark, d), _seeds(f))
+
+
+@_query
+def import_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Import targets of Java and Rust files by patterns alone."""
+    from ..extract.operator import imports_by_pattern
+
+    contents = table(spark, d, "files").select("repo", "path", "content").filter(F.expr(f"{t.extension('path')} in ('.java', '.rs')")).distinct()
+    return imports_by_pattern(contents)
+
+
+SQL["import_patterns"] = r"""
+WITH x AS (SELECT DISTINCT repo, path, content FROM files WHERE regexp_matches(path, '\.(java|rs)$')), v AS (SELECT repo, path, try(decode(content)) AS c, content FROM x)
+, g AS (SELECT * FROM v WHERE c IS NOT NULL AND NOT contains(c, chr(0)))
+, l AS (SELECT repo, path, generate_subscripts(string_split(c, chr(10)), 1) AS line, unnest(string_split(c, chr(10))) AS s FROM g)
+SELECT repo, path, regexp_extract(s, CASE WHEN ends_with(path, '.java') THEN '^[ \t]*import\s+(?:static\s+)?([\w.]+)' ELSE '^[ \t]*(?:pub\s+)?use\s+([\w:]+)' END, 1) AS target_name, line::INT AS line FROM l
+WHERE regexp_matches(s, CASE WHEN ends_with(path, '.java') THEN '^[ \t]*import\s+(?:static\s+)?[\w.]+' ELSE '^[ \t]*(?:pub\s+)?use\s+[\w:]+' END)
+"""
+
+
+@_query
+def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols scanned from the contents of all files."""
+    from ..extract.operator import extract
+
+    return index.symbols_of(extract(table(spark, d, "files").select("repo", "path", "content").distinct()))
+
+
+@_query
+def extracted_references(spark: SparkSession, d: str) -> DataFrame:
+    from ..extract.operator import extract
+
+    return index.references_of(extract(table(spark, d, "files").select("repo", "path", "content").distinct()))
+
+
+@_query
+def rendered_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The map of every repository in a budget of 1024 tokens, as Markdown and JSON."""
+    from .maps import render_all
+
+    f = materialize(files(spark, d), "files")
+    e = edges(spark, d)
+    return render_all(f, rank.rank_structure(materialize(graph.nodes_of(f, e), "nodes"), e), 1024)

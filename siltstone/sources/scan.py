@@ -6,7 +6,6 @@ import logging
 import os
 import re
 import subprocess
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", "venv", ".venv", "dist
 MAX_FILES, MAX_BYTES, LIST_SECONDS = 10_000, 1_000_000, 30
 
 
-def describe(files: DataFrame) -> DataFrame:
+def describe(files: DataFrame, keep_content: bool = False) -> DataFrame:
     """``repo, path, language, content_hash, lines`` from ``repo, path, content``, all inside the JVM.
 
     A NUL byte among the first 8192 makes a file ``binary``, invalid UTF-8 or an unknown extension
@@ -33,7 +32,7 @@ def describe(files: DataFrame) -> DataFrame:
         "repo", "path",
         F.expr(f"case when nul then 'binary' when not valid then 'unknown' else coalesce({t.language_of('path')}, 'unknown') end").alias("language"),
         F.expr("if(nul or not valid, '', sha2(content, 256))").alias("content_hash"),
-        F.expr(f"if(nul or not valid, 0, {t.line_count(text)})").alias("lines"),
+        F.expr(f"if(nul or not valid, 0, {t.line_count(text)})").alias("lines"), *(["content"] if keep_content else []),
     )
 
 
@@ -46,6 +45,25 @@ def tracked_paths(root: str) -> list[str] | None:
     return [p for p in done.stdout.decode("utf-8", "surrogateescape").split("\0") if p] if done.returncode == 0 else None
 
 
+def walked_paths(root: str) -> list[str]:
+    """Paths below a root without version control, in order, under the fixed limits of a walk."""
+    out: list[str] = []
+    for folder, names, files in os.walk(root):
+        names[:] = sorted(n for n in names if not n.startswith(".") and n not in SKIPPED_FOLDERS and not n.endswith(".egg-info"))
+        for name in sorted(files):
+            full = os.path.join(folder, name)
+            try:
+                if os.path.getsize(full) > MAX_BYTES:
+                    continue
+            except OSError:
+                continue
+            out.append(os.path.relpath(full, root))
+            if len(out) >= MAX_FILES:
+                log.warning("only the first %d files are listed", MAX_FILES)
+                return out
+    return out
+
+
 def _escaped(path: str) -> str:
     return re.sub(r"([{}\[\]*?,\\])", r"\\\1", path)
 
@@ -54,29 +72,22 @@ def read_repository(spark: SparkSession, root: str, languages: list[str] | None
     """``repo, path, content`` of the supported files below a root, only of ``languages`` if given.
 
     Tracked files come from git; elsewhere the tree is walked, without hidden and skipped folders and
-    files over 1,000,000 bytes, up to 10,000 files. Extensions are filtered before anything is read.
+    files over 1,000,000 bytes, up to 10,000 files. Extensions are filtered before anything is read,
+    and files that vanish meanwhile are left out.
     """
-    extensions = [e for e, k in t.LANGUAGE_OF_EXTENSION.items() if not languages or k in languages]
-    empty = spark.createDataFrame([], "repo string, path string, content binary")
-    if not extensions:
-        return empty
+    root = os.path.realpath(root)
+    extensions = {e for e, k in t.LANGUAGE_OF_EXTENSION.items() if not languages or k in languages}
     listed = tracked_paths(root)
-    reader = spark.read.format("binaryFile")
-    if listed is not None:
-        wanted = [p for p in listed if os.path.splitext(p)[1].lower() in extensions and os.path.isfile(os.path.join(root, p))]
-        if not wanted:
-            return empty
-        raw = reader.load([_escaped(os.path.join(root, p)) for p in wanted])
-    else:
-        log.warning("not under version control, walking the folder: %s", root)
-        raw = reader.option("recursiveFileLookup", True).load(_escaped(root)).filter(F.col("length") <= MAX_BYTES)
-    prefix = len(os.path.abspath(root).rstrip("/")) + 1
-    decode = F.udf(lambda p: unquote(p.split(":", 1)[1]).lstrip("/") if ":" in p else p, "string", useArrow=True)
-    paths = raw.select(F.concat(F.lit("/"), decode("path")).alias("full"), "content").select(F.substring("full", prefix + 1, 1_000_000).alias("path"), "content")
     if listed is None:
-        parts = F.split("path", "/")
-        folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-        skipped = F.exists(folders, lambda x: x.startswith(".") | x.isin(*SKIPPED_FOLDERS) | x.endswith(".egg-info"))
-        known = F.expr(f"array_contains({t.string_array(extensions)}, {t.extension('path')})")
-        paths = paths.filter(~skipped & known).orderBy("path").limit(MAX_FILES)
-    return paths.select(F.lit(repo).alias("repo"), "path", "content")
+        log.warning("not under version control, walking the folder: %s", root)
+        listed = walked_paths(root)
+    sizes = {p: os.path.getsize(os.path.join(root, p)) for p in listed if os.path.splitext(p)[1].lower() in extensions and os.path.isfile(os.path.join(root, p))}
+    # The reader passes over files without bytes, so they are rows of their own.
+    empty = spark.createDataFrame([(repo, p, b"") for p, n in sizes.items() if not n], "repo string, path string, content binary")
+    full = [_escaped(os.path.join(root, p)) for p, n in sizes.items() if n]
+    if not full:
+        return empty
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(full)
+    # Paths come back as URIs; only the escapes of a URI need decoding, a plus sign stays.
+    plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"\+", "%2B"))
+    return raw.select(F.lit(repo).alias("repo"), F.substring(plain, len(root.rstrip("/")) + 2, 1_000_000).alias("path"), "content").unionByName(empty)

@@ -24,10 +24,10 @@ def listing(scans: DataFrame) -> DataFrame:
 
 
 def diff(current: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """``repo, path, state``: ``hit`` (same hash), ``miss`` (new or changed) or ``stale`` (no longer listed)."""
+    """``repo, path, state``: ``hit`` (same hash; an empty hash never hits), ``miss`` (new or changed) or ``stale`` (no longer listed)."""
     s = snapshot.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.lower("content_hash").alias("_h"))
     both = current.join(s, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")), "full_outer")
-    state = F.when(F.col("path").isNull(), "stale").when(F.col("_h") == F.lower("content_hash"), "hit").otherwise("miss")
+    state = F.when(F.col("path").isNull(), "stale").when((F.col("_h") == F.lower("content_hash")) & (F.col("_h") != ""), "hit").otherwise("miss")
     return both.select(F.coalesce("repo", "_r").alias("repo"), F.coalesce("path", "_p").alias("path"), state.alias("state"))
 
 
