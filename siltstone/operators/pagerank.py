@@ -107,7 +107,7 @@ def power_iteration(p: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarr
     return x / x.sum() if x.sum() > 0 else x
 
 
-def _kernel(alpha: float):
+def _kernel(alpha: float, max_steps: int, tolerance: float):
     def run(group: pa.Table) -> pa.Table:
         path, p, src, dst, w = (group.column(c).combine_chunks() for c in ("path", "p", "src", "dst", "weight"))
         is_node = p.is_valid().to_numpy(zero_copy_only=False)
@@ -115,13 +115,15 @@ def _kernel(alpha: float):
         index = {v: i for i, v in enumerate(nodes.to_pylist())}
         edge = pa.array(~is_node)
         code = lambda a: np.array([index[v] for v in a.filter(edge).to_pylist()], np.int64)
-        x = power_iteration(p.filter(pa.array(is_node)).to_numpy(), code(src), code(dst), w.filter(edge).to_numpy(), alpha)
+        x = power_iteration(p.filter(pa.array(is_node)).to_numpy(), code(src), code(dst), w.filter(edge).to_numpy(), alpha, max_steps, tolerance)
         return pa.table({"repo": pa.array([group.column("repo")[0].as_py()] * len(nodes), pa.string()), "path": nodes, "score": x})
 
     return run
 
 
-def pagerank(nodes: DataFrame, weights: DataFrame, personal: DataFrame | None = None, alpha: float = ALPHA, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def pagerank(
+    nodes: DataFrame, weights: DataFrame, personal: DataFrame | None = None, alpha: float = ALPHA, kernel_edges: int = KERNEL_EDGES, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE
+) -> DataFrame:
     """``repo, path, score`` of every node, adding up to 1 in each repository.
 
     A repository of one node scores 1; an empty graph gives no rows. Personal weights that add up to
@@ -136,7 +138,7 @@ def pagerank(nodes: DataFrame, weights: DataFrame, personal: DataFrame | None =
     none = F.lit(None)
     rows = keep(start, small).select("repo", "path", "p", none.cast("string").alias("src"), none.cast("string").alias("dst"), none.cast("double").alias("weight"))
     arcs = keep(weights, small).select("repo", none.cast("string").alias("path"), none.cast("double").alias("p"), "src", "dst", "weight")
-    out = rows.unionByName(arcs).groupBy("repo").applyInArrow(_kernel(alpha), "repo string, path string, score double")
+    out = rows.unionByName(arcs).groupBy("repo").applyInArrow(_kernel(alpha, max_steps, tolerance), "repo string, path string, score double")
     if large.isEmpty():
         return out
-    return out.unionByName(distributed(keep(start, large), keep(weights, large), alpha))
+    return out.unionByName(distributed(keep(start, large), keep(weights, large), alpha, max_steps, tolerance))

@@ -14,7 +14,7 @@ from ..functions.text import TEST_WORDS
 from ..session import materialize
 from .graph import neighbors, nodes_of, weights_of
 from .lexical import lexical, words_of
-from .pagerank import ALPHA, pagerank, start_vector, unrolled
+from .pagerank import ALPHA, pagerank
 
 DECAY = 0.6
 QUERY_MIX = (6.0, 1.5, 0.5)  # lexical, nearby, structural
@@ -55,7 +55,7 @@ def rank_structure(nodes: DataFrame, edges: DataFrame, personal: DataFrame | Non
     """``repo, path, score`` by PageRank, until it stands still or for a fixed number of steps."""
     if steps is None:
         return pagerank(nodes, weights_of(edges), personal, alpha)
-    return unrolled(start_vector(nodes, personal), weights_of(edges), steps, alpha)
+    return pagerank(nodes, weights_of(edges), personal, alpha, max_steps=steps, tolerance=0.0)
 
 
 def _mix(parts: list[tuple[float, DataFrame, str]]) -> DataFrame:
