@@ -143,7 +143,7 @@ def sort_of(path: str | None, repo: str | None, content: bytes | None) -> tuple[
     size = len(body.strip())
     if size >= LEAST_BODY:
         residue = len(_LITERAL.sub("", body))
-        if residue < DATA_RESIDUE * size:
+        if residue < DATA_RESIDUE * size and residue <= DATA_CODE + 0.01 * size:
             return "data", f"literals: {1 - residue / size:.2f} of the text", maintainer, False
         if any(len(ln) > LONG_LINE for ln in body.splitlines()):
             code = _STRING.sub('""', body)
@@ -159,6 +159,7 @@ def sort_of(path: str | None, repo: str | None, content: bytes | None) -> tuple[
 
 LEAST_BODY = 200
 DATA_RESIDUE = 0.07
+DATA_CODE = 80  # characters of declarations around a table; whole functions take more
 COUNTED = 40
 COUNTED_SHARE = 0.6
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
