@@ -129,7 +129,12 @@ class Language:
 
     def check(self, text: str) -> tuple[bool, int, str]:
         """Whether the whole text is valid; else the offset of the furthest failure and the cause."""
-        text = self.prepare(text)
+        prepared = self.prepare(text)
+        valid, at, cause = self._check(prepared)
+        # What is prepared differs from the text at its beginning only.
+        return (True, -1, "") if valid else (False, min(len(text), max(0, at - len(prepared) + len(text))), cause)
+
+    def _check(self, text: str) -> tuple[bool, int, str]:
         grammar = self.grammar
         grammar.tidy()
         kinds = self.kinds_of(text)
