@@ -5,7 +5,7 @@ Evidence, in this order:
 * notices in the file's header comment, found by one multi-pattern automaton over all files;
 * path rules: directories and suffixes of generators, package layouts below vendored directories,
   suffixes of minified files and lockfiles;
-* known third-party content: the hash of an upstream file;
+* known third-party content: the hash of an upstream file, or the body of a file that is vendored by other evidence;
 * the shape of the whole content: share of text in overlong lines, share of text that is literal
   data, and runs of lines that differ only by a counter.
 
@@ -16,6 +16,7 @@ package's layout below it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Notices of generators and of third-party releases as they stand in headers, in lower case.
 NOTICES = {
     "generated": [
@@ -81,6 +84,15 @@ def header_of(text: str) -> str:
     return _HEADER.match(text.removeprefix("﻿")).group(0)
 
 
+_COMMENT_LINE = re.compile(r"^[ \t]*(?://|#|/\*|\*).*$", re.M)
+
+
+def body_key(text: str) -> bytes | None:
+    """A fingerprint of the code without its header, lines of comment and blanks; none for short bodies."""
+    body = "".join(_COMMENT_LINE.sub("", text[len(header_of(text)) :].replace("\r", "\n")).split())
+    return hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(body) >= LEAST_BODY else None
+
+
 def counter_share(text: str) -> tuple[int, float]:
     """Lines whose number goes on counting from the line of the same shape before, and their block's share of the text.
 
@@ -166,7 +178,7 @@ _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 # A body can only count on for COUNTED lines if the number COUNTED - 1 or a greater one stands in it.
 _COUNTS_ON = re.compile(r"(?<![\w.])(?:39|[4-9]\d|[1-9]\d\d+)(?![\w.])")
 
-_OUT = "file_id bigint, repo string, path string, hash string, sort string, evidence string, maintainer string, noticed boolean"
+_OUT = "file_id bigint, repo string, path string, hash string, sort string, evidence string, maintainer string, noticed boolean, body binary"
 
 
 def classify_files(files: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -187,17 +199,18 @@ def classify_files(files: DataFrame, upstream: DataFrame) -> DataFrame:
             got = [sort_of(p, r, c) for r, p, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 4)))]
             kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
             made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
-            yield pa.record_batch([*b.columns[:4], *made], ["file_id", "repo", "path", "hash", "sort", "evidence", "maintainer", "noticed"])
+            bodies = pa.array([body_key((c or b"").decode("utf-8", "replace")) for c in b.column(4).to_pylist()], pa.binary())
+            yield pa.record_batch([*b.columns[:4], *made, bodies], ["file_id", "repo", "path", "hash", "sort", "evidence", "maintainer", "noticed", "body"])
 
     judged = files.select(F.col("file_id").cast("bigint").alias("file_id"), "repo", "path", F.lower("content_hash").alias("hash"), "content").mapInArrow(run, _OUT)
     key = F.struct("file_id", F.when(F.col("file_id").isNull(), F.monotonically_increasing_id()).alias("row")).alias("_u")
-    row = F.struct("file_id", "repo", "path", "sort", "evidence", "hash", "maintainer", "noticed")
+    row = F.struct("file_id", "repo", "path", "sort", "evidence", "hash", "maintainer", "noticed", "body")
     once = judged.withColumn("_u", key).groupBy("_u").agg(F.min(row).alias("r")).select("r.*")
     known = upstream.filter(F.col("content_hash") != "").select(F.lower("content_hash").alias("_h"), F.lit(True).alias("_up")).distinct()
     packages = upstream.filter(F.col("package").isNotNull()).select(F.lower("package").alias("_p"), F.lit(True).alias("_pk")).distinct()
     joined = once.join(known, F.col("hash") == F.col("_h"), "left").join(packages, F.col("maintainer") == F.col("_p"), "left")
     theirs = F.col("_pk") & ~F.col("noticed")
-    return joined.select(
+    told = joined.select(
         "file_id",
         "repo",
         "path",
@@ -206,4 +219,16 @@ def classify_files(files: DataFrame, upstream: DataFrame) -> DataFrame:
         .when(theirs, F.concat(F.lit("notice: maintainers of "), "maintainer"))
         .otherwise(F.col("evidence"))
         .alias("evidence"),
+        "body",
+    )
+    # A copy without its notice, outside of any vendored folder, shows by its body: one row per distinct body on that side.
+    told = materialize(told, "told")
+    copied = told.filter("sort = 'vendored' AND body IS NOT NULL").select(F.col("body").alias("_b"), F.lit(True).alias("_copy")).distinct()
+    copy = (F.col("sort") == "hand_written") & F.coalesce("_copy", F.lit(False))
+    return told.join(copied, F.col("body") == F.col("_b"), "left").select(
+        "file_id",
+        "repo",
+        "path",
+        F.when(copy, F.lit("vendored")).otherwise(F.col("sort")).alias("sort"),
+        F.when(copy, F.lit("body of a vendored file")).otherwise(F.col("evidence")).alias("evidence"),
     )

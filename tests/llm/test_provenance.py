@@ -47,3 +47,12 @@ def test_labels(spark, small):
     labels = {r.file_id: r.label for r in spark.read.parquet(f"{small}/file_labels.parquet").collect()}
     got = {r.file_id: r.sort for r in p2_file_sorts(spark, small).collect()}
     assert {k: got[k] for k in labels} == labels
+
+
+def test_copies_show_by_their_body(spark):
+    head = b"/*\n * foo v1.2.3\n * (c) 2014 Foo contributors\n * Released under a permissive license.\n */\n"
+    body = b"export function alpha(beta, gamma) {\n  return beta + gamma * 17;\n}\n" * 6
+    rows = [(1, "a", "x/foo.js", "", head + body), (2, "b", "y/bar.js", "", body.rstrip() + b"\r\n// local patch\n"), (3, "b", "y/own.js", "", body.replace(b"alpha", b"delta")), (4, "b", "z.js", "", b"f();")]
+    files = spark.createDataFrame(rows, "file_id bigint, repo string, path string, content_hash string, content binary")
+    upstream = spark.createDataFrame([], "package string, content_hash string")
+    assert {r.file_id: r.sort for r in classify_files(files, upstream).collect()} == {1: "vendored", 2: "vendored", 3: "hand_written", 4: "hand_written"}
