@@ -249,12 +249,30 @@ def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
 SQL["reference_resolution"] = BASE + _RESOLVE + "SELECT repo, path, target_name, how, count(*) AS n_targets, CASE WHEN how <> 'ambiguous' THEN min(target) END AS target FROM res GROUP BY repo, path, target_name, how"
 
 
-@_query
-def test_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.test_edges(files(spark, d))
+_SOURCE = "replace(replace(replace(replace(replace(path, '.test.', '.'), '.spec.', '.'), '_test.', '.'), '/test_', '/'), 'Test.java', '.java')"
 
 
-SQL["test_edges"] = BASE + _TESTS + "SELECT repo, src, dst, stem FROM te WHERE src <> dst"
+@_query
+def test_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Test edges over the files and, as the tables hold tests without their sources, stand-ins beside each test and one folder up."""
+    f = files(spark, d)
+    beside = f.withColumn("path", F.expr(_SOURCE)).filter("path not like '%/%/%/%/%/%'")
+    above = f.withColumn("path", F.expr(f"regexp_replace({_SOURCE}, '/[^/]+/([^/]+)$', '/$1')"))
+    every = f.unionByName(beside).unionByName(above).select("repo", "path", F.expr(f"{t.language_of('path')} as language")).distinct()
+    return graph.test_edges(every)
+
+
+SQL["test_edges"] = (
+    BASE.replace("f AS (", "f0 AS (", 1).replace("FROM f)", "FROM f0)").replace("FROM f0 ORDER", "FROM f ORDER")
+    + rf"""
+, src AS (SELECT repo, {_SOURCE} AS path FROM f0), f AS (
+  SELECT DISTINCT repo, path, CASE regexp_extract(lower(path), '[^/]+(\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.pyi' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript'
+    WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.java' THEN 'java' ELSE 'javascript' END AS language
+  FROM (SELECT repo, path FROM f0 UNION ALL SELECT repo, path FROM src WHERE path NOT LIKE '%/%/%/%/%/%' UNION ALL SELECT repo, regexp_replace(path, '/[^/]+/([^/]+)$', '/\1') FROM src))
+"""
+    + _TESTS
+    + "SELECT repo, src, dst, stem FROM te WHERE src <> dst"
+)
 
 
 @_query
