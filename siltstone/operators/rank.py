@@ -1,7 +1,7 @@
 """Ranks of files: by structure alone, for a query, and for given files.
 
-Everything is per repository. Normalising joins one row per repository; ranks are cut to the first
-``top`` of a repository, which Spark limits before it shuffles.
+Everything is per repository. Normalising joins one row per repository; a ranking cut to the first
+``top`` of a repository is limited before it is shuffled, a full one is sorted by ranges.
 """
 
 from __future__ import annotations
@@ -45,10 +45,24 @@ def expand(seeds: DataFrame, near: DataFrame, hops: int = 2, decay: float = DECA
 
 
 def ranked(scores: DataFrame, top: int | None = None) -> DataFrame:
-    """``repo, path, score, rank`` by descending score, ties by path; the first ``top`` of a repository."""
-    order = Window.partitionBy("repo").orderBy(F.desc("score"), F.asc("path"))
-    out = scores.select("repo", "path", "score", F.row_number().over(order).alias("rank"))
-    return out.filter(F.col("rank") <= top) if top is not None else out
+    """``repo, path, score, rank`` by descending score, ties by path; the first ``top`` of a repository.
+
+    A full ranking is cut into ranges of (repository, score, path); a row's rank is its place in its
+    range plus what lies before it, so no repository is sorted in one task.
+    """
+    order = [F.desc("score"), F.asc("path")]
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy("repo").orderBy(*order)).alias("rank")
+        return scores.select("repo", "path", "score", place).filter(F.col("rank") <= top)
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranges = scores.select("repo", "path", "score").repartitionByRange(n, "repo", *order).withColumn("_range", F.spark_partition_id())
+    ranges = materialize(ranges, "ranges")
+    sizes = ranges.groupBy(F.col("repo").alias("_s"), F.col("_range").alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("_s", "_k", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("repo", "_range").orderBy(*order))
+    joined = ranges.withColumn("place", place).join(offsets, F.col("repo").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_k")))
+    return joined.select("repo", "path", "score", (F.col("before") + F.col("place")).cast("int").alias("rank"))
 
 
 def rank_structure(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, steps: int | None = None, alpha: float = ALPHA) -> DataFrame:

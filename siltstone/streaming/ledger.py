@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path
@@ -224,7 +224,8 @@ class IntervalLedger:
         return after["version"]
 
     def _publish(self, manifest: dict) -> None:
-        # create(overwrite=False) is atomic on HDFS-like and local stores and fails if the version was taken.
+        # The manifest is written aside and renamed, so readers never see a part of it. A file system whose rename
+        # refuses an existing target (as HDFS does) lets exactly one of two runs at the same moment take the version.
         staged = self._path(f"{self.root}/.staged-{uuid.uuid4().hex}")
         stream = self._fs.create(staged, False)
         stream.write(bytearray(json.dumps(manifest).encode()))
@@ -234,7 +235,3 @@ class IntervalLedger:
             self._fs.delete(staged, False)
             raise RuntimeError(f"version {manifest['version']} was committed by another run")
 
-
-def gap_count(gaps: DataFrame) -> Column:
-    """Numbers in interval blocks, as an aggregate expression."""
-    return F.sum(F.aggregate(F.zip_with("lo", "hi", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y))
