@@ -287,15 +287,3 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = documents.select(F.col(id_col), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
-
-def count_tokens(documents: DataFrame, columns: list[str], text_col: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """The named columns and ``n_tokens`` of the text; null counts 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(ranks)
-        for b in batches:
-            n = [len(t.encode_packed(x)) // 4 for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*b.columns[:-1], pa.array(n, pa.int64())], [*columns, "n_tokens"])
-
-    fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns]
-    return documents.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
