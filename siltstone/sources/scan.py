@@ -88,6 +88,5 @@ def read_repository(spark: SparkSession, root: str, languages: list[str] | None
     if not full:
         return empty
     raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(full)
-    # Paths come back as URIs; only the escapes of a URI need decoding, a plus sign stays.
-    plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"\+", "%2B"))
+    plain = F.regexp_replace("path", "^file:/+", "/")
     return raw.select(F.lit(repo).alias("repo"), F.substring(plain, len(root.rstrip("/")) + 2, 1_000_000).alias("path"), "content").unionByName(empty)
