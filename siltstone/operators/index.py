@@ -16,22 +16,26 @@ WEIGHTS = {"tests": 1.25, "imports": 1.0, "calls": 0.9, "uses_type": 0.8, "inher
 SYMBOL_KINDS = ("class", "function", "method", "variable", "type", "interface", "enum", "constant", "module")
 
 
-def current_files(files: DataFrame) -> DataFrame:
-    """One row a file: ``repo, path, language, content_hash, lines, symbols, refs``.
+COLUMNS = ("language", "content_hash", "lines", "symbols", "refs")
 
-    Of rows of one (repo, path) the latest by ``indexed_at`` and ``run_id`` stays; a null language is
-    told by the extension, null arrays are empty, rows without repository or path are left out.
+
+def current_files(files: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """One row a file: ``repo, path`` and the named ones of ``language, content_hash, lines, symbols, refs``.
+
+    Only what is named is read and moved. Of rows of one (repo, path) the latest by ``indexed_at`` and
+    ``run_id`` stays; a null language is told by the extension, null arrays are empty, rows without
+    repository or path are left out.
     """
-    rows = files.filter("repo is not null and path is not null").select(
-        "repo", "path",
-        F.struct(
-            "indexed_at", "run_id", F.expr(f"coalesce(language, {t.language_of('path')}, 'unknown')").alias("language"),
-            F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.coalesce("lines", F.lit(0)).alias("lines"),
-            F.expr(f"coalesce(symbols, cast(array() as array<{SYMBOL}>))").alias("symbols"),
-            F.expr(f"coalesce(refs, cast(array() as array<{REFERENCE}>))").alias("refs"),
-        ).alias("r"),
-    )
-    return rows.groupBy("repo", "path").agg(F.max("r").alias("r")).select("repo", "path", "r.language", "r.content_hash", "r.lines", "r.symbols", "r.refs")
+    made = {
+        "language": F.expr(f"coalesce(language, {t.language_of('path')}, 'unknown')"),
+        "content_hash": F.coalesce("content_hash", F.lit("")),
+        "lines": F.coalesce("lines", F.lit(0)),
+        "symbols": F.expr(f"coalesce(symbols, cast(array() as array<{SYMBOL}>))") if "symbols" in columns else None,
+        "refs": F.expr(f"coalesce(refs, cast(array() as array<{REFERENCE}>))") if "refs" in columns else None,
+    }
+    row = F.struct("indexed_at", "run_id", *[made[c].alias(c) for c in columns])
+    latest = files.filter("repo is not null and path is not null").groupBy("repo", "path").agg(F.max(row).alias("r"))
+    return latest.select("repo", "path", *[f"r.{c}" for c in columns])
 
 
 def symbols_of(files: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def _query(f):
     return f
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    return index.current_files(table(spark, d, "files"))
+def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current files with the named columns, by default all."""
+    return index.current_files(table(spark, d, "files"), columns or index.COLUMNS)
 
 
 _built: dict[tuple[str, str], DataFrame] = {}
@@ -35,7 +36,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     """The edges of a folder's files; like an engine's index, they are built once a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _built:
-        _built[key] = materialize(graph.build(materialize(files(spark, d), "files")), "edges")
+        _built[key] = materialize(graph.build(materialize(files(spark, d, "language", "symbols", "refs"), "files")), "edges")
     return _built[key]
 
 
@@ -136,7 +137,7 @@ _EDGES = (
 
 @_query
 def language_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.stats(files(spark, d))
+    return index.stats(files(spark, d, "language", "symbols", "refs"))
 
 
 SQL["language_stats"] = BASE + "SELECT repo, language, count(*) AS n_files, sum(len(symbols))::BIGINT AS n_symbols, sum(len(refs))::BIGINT AS n_refs FROM f GROUP BY repo, language"
@@ -165,7 +166,7 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """Unchanged, changed or new, and gone files of the latest listing against the snapshot."""
     from ..sources.snapshot import diff, listing
 
-    return diff(listing(table(spark, d, "file_scans")), files(spark, d))
+    return diff(listing(table(spark, d, "file_scans")), files(spark, d, "content_hash"))
 
 
 SQL["snapshot_diff"] = r"""
@@ -183,7 +184,7 @@ FROM cur c FULL JOIN snap s ON s.repo = c.repo AND s.path = c.path
 @_query
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
     """How often each token stands in symbol names, and in how many distinct names."""
-    names = index.symbols_of(files(spark, d)).select("name", F.explode(F.expr(t.tokenize("name"))).alias("token"))
+    names = index.symbols_of(files(spark, d, "symbols")).select("name", F.explode(F.expr(t.tokenize("name"))).alias("token"))
     return names.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_names"))
 
 
@@ -200,7 +201,7 @@ SELECT token, count(*) AS n, count(DISTINCT name) AS n_names FROM tok GROUP BY t
 @_query
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     """Stem, compact form, test flag and folder of every path."""
-    p = files(spark, d).select("repo", "path")
+    p = files(spark, d, "language").select("repo", "path")
     return p.select("repo", "path", F.expr(t.stem("path")).alias("stem"), F.expr(t.compact("path")).alias("compact_path"), F.expr(t.is_test_path("path")).alias("is_test"), F.expr(t.dirname("path")).alias("folder"))
 
 
@@ -213,7 +214,7 @@ SELECT repo, path, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', ''
 
 @_query
 def method_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return index.drop_functions_of_methods(index.symbols_of(files(spark, d)).withColumn("line", F.floor(F.col("line") / 8).cast("int"))).select("repo", "path", "name", "kind", "line", "ord")
+    return index.drop_functions_of_methods(index.symbols_of(files(spark, d, "symbols")).withColumn("line", F.floor(F.col("line") / 8).cast("int"))).select("repo", "path", "name", "kind", "line", "ord")
 
 
 SQL["method_dedup"] = BASE + """
@@ -225,7 +226,7 @@ SELECT * FROM z WHERE NOT (kind = 'function' AND EXISTS (SELECT 1 FROM z m WHERE
 @_query
 def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Names looked up by the collision rule alone, for all asks of every language."""
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "language", "symbols", "refs"), "files")
     asks = resolve.asks_of(index.references_of(f)).withColumn("language", F.lit("any"))
     return resolve.by_symbol(asks, index.symbols_of(f)).select("repo", "path", "target_name", "n_targets", "target")
 
@@ -241,7 +242,7 @@ SELECT repo, path, target_name, CASE WHEN n = 1 OR nd = 1 OR nt = 1 THEN 1 ELSE
 
 @_query
 def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "language", "symbols", "refs"), "files")
     refs, symbols = index.references_of(f), index.symbols_of(f)
     return resolve.resolve(f, refs, symbols).select("repo", "path", "target_name", "how", "n_targets", "target")
 
@@ -255,7 +256,7 @@ _SOURCE = "replace(replace(replace(replace(replace(path, '.test.', '.'), '.spec.
 @_query
 def test_edges(spark: SparkSession, d: str) -> DataFrame:
     """Test edges over the files and, as the tables hold tests without their sources, stand-ins beside each test and one folder up."""
-    f = files(spark, d)
+    f = files(spark, d, "language")
     beside = f.withColumn("path", F.expr(_SOURCE)).filter("path not like '%/%/%/%/%/%'")
     above = f.withColumn("path", F.expr(f"regexp_replace({_SOURCE}, '/[^/]+/([^/]+)$', '/$1')"))
     every = f.unionByName(beside).unionByName(above).select("repo", "path", F.expr(f"{t.language_of('path')} as language")).distinct()
@@ -306,7 +307,7 @@ def _steps(start: str) -> str:
 
 @_query
 def pagerank_global(spark: SparkSession, d: str) -> DataFrame:
-    f, e = files(spark, d), edges(spark, d)
+    f, e = files(spark, d, "language"), edges(spark, d)
     start = pagerank.start_vector(materialize(graph.nodes_of(f, e), "nodes"))
     return pagerank.unrolled(start, graph.weights_of(e), STEPS).withColumn("score", F.round("score", 6))
 
@@ -317,7 +318,7 @@ SQL["pagerank_global"] = BASE + _EDGES + _steps("SELECT repo, path, 1.0::DOUBLE
 @_query
 def pagerank_personalized(spark: SparkSession, d: str) -> DataFrame:
     """Personalized by test files: each counts 1."""
-    f, e = files(spark, d), edges(spark, d)
+    f, e = files(spark, d, "language"), edges(spark, d)
     personal = f.select("repo", "path", F.expr(f"if({t.is_test_path('path')}, 1.0D, 0.0D)").alias("w"))
     start = pagerank.start_vector(materialize(graph.nodes_of(f, e), "nodes"), personal)
     return pagerank.unrolled(start, graph.weights_of(e), STEPS).withColumn("score", F.round("score", 6))
@@ -331,14 +332,14 @@ SQL["pagerank_personalized"] = BASE + _EDGES + _steps(
 
 @_query
 def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    f, e = files(spark, d), edges(spark, d)
+    f, e = files(spark, d, "language"), edges(spark, d)
     return pagerank.pagerank(materialize(graph.nodes_of(f, e), "nodes"), graph.weights_of(e))
 
 
 @_query
 def seed_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Relevance spread from test files over two hops."""
-    f, e = files(spark, d), edges(spark, d)
+    f, e = files(spark, d, "language"), edges(spark, d)
     seeds = f.select("repo", "path", F.expr(f"if({t.is_test_path('path')}, 1.0D, 0.0D)").alias("score"))
     return rank.expand(seeds, graph.neighbors(e)).withColumn("score", F.round("score", 6))
 
@@ -353,7 +354,7 @@ SELECT repo, path, round(max(score), 6) AS score FROM (SELECT * FROM h0 UNION AL
 
 @_query
 def lexical_score(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.lexical(files(spark, d), QUERY)
+    return lexical.lexical(files(spark, d, "symbols"), QUERY)
 
 
 # The same score by rows: one row per (file, word), and per (file, word, symbol) for the symbols' part.
@@ -395,13 +396,13 @@ SQL["lexical_score"] = BASE + _LEXICAL + "SELECT repo, path, lexical FROM lx"
 @_query
 def rank_query(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid rank for a query, PageRank at a fixed number of steps so that SQL can follow."""
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "symbols"), "files")
     return rank.rank_for_query(f, edges(spark, d), QUERY, STEPS).withColumn("score", F.round("score", 4))
 
 
 @_query
 def rank_query_converged(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "symbols"), "files")
     return rank.ranked(rank.rank_for_query(f, edges(spark, d), QUERY), TOP)
 
 
@@ -412,7 +413,7 @@ def _seeds(f: DataFrame) -> DataFrame:
 @_query
 def rank_files(spark: SparkSession, d: str) -> DataFrame:
     """Ranked around each repository's first test file by path."""
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "symbols"), "files")
     return rank.rank_for_files(f, edges(spark, d), _seeds(f), STEPS).withColumn("score", F.round("score", 4))
 
 
@@ -445,7 +446,7 @@ SQL["rank_files"] = BASE + _EDGES + _hybrid(
 @_query
 def tiers_summary(spark: SparkSession, d: str) -> DataFrame:
     """Tiers by number of symbols, with summaries."""
-    f = files(spark, d)
+    f = files(spark, d, "symbols")
     tiers = rank.tiers(f.select("repo", "path", F.size("symbols").cast("double").alias("score")))
     s = f.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.expr(lexical.summary()).alias("summary"))
     return tiers.join(s, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p"))).select("repo", "path", "rank", "tier", "summary")
@@ -463,7 +464,7 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Files of each repository, by path, whose summaries fit a budget of 400 characters before the first that doesn't."""
     from pyspark.sql import Window
 
-    f = files(spark, d).select("repo", "path", F.expr(f"length(coalesce({lexical.summary()}, path))").alias("cost"))
+    f = files(spark, d, "symbols").select("repo", "path", F.expr(f"length(coalesce({lexical.summary()}, path))").alias("cost"))
     w = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     return f.withColumn("used", F.sum("cost").over(w)).filter("used <= 400")
 
@@ -478,7 +479,7 @@ SELECT * FROM u WHERE used <= 400
 @_query
 def evidence_symbols(spark: SparkSession, d: str) -> DataFrame:
     """The evidence symbols of every file that has any."""
-    made = files(spark, d).select("repo", "path", F.explode(F.expr(evidence.evidence_symbols(lexical.words_of(QUERY)))).alias("e"))
+    made = files(spark, d, "symbols").select("repo", "path", F.explode(F.expr(evidence.evidence_symbols(lexical.words_of(QUERY)))).alias("e"))
     return made.select("repo", "path", "e.name", "e.line", "e.score", "e.matched_terms", "e.reasons")
 
 
@@ -518,13 +519,13 @@ SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY len(symbo
 
 @_query
 def evidence_query(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "language", "symbols"), "files")
     return evidence.query_evidence(f, edges(spark, d), QUERY)
 
 
 @_query
 def evidence_files(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "language", "symbols"), "files")
     return evidence.file_evidence(f, edges(spark, d), _seeds(f))
 
 
@@ -566,6 +567,6 @@ def rendered_maps(spark: SparkSession, d: str) -> DataFrame:
     """The map of every repository in a budget of 1024 tokens, as Markdown and JSON."""
     from .maps import render_all
 
-    f = materialize(files(spark, d), "files")
+    f = materialize(files(spark, d, "language", "symbols"), "files")
     e = edges(spark, d)
     return render_all(f, rank.rank_structure(materialize(graph.nodes_of(f, e), "nodes"), e), 1024)
