@@ -139,15 +139,14 @@ def scan_verdicts(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFr
         F.col("scan_id").cast("bigint").alias("scan_id"), "repo", normalize_path("path").alias("path"),
         F.lower("content_hash").alias("s_hash"), F.coalesce("is_deleted", F.lit(False)).alias("gone"), "seen_at",
     ).filter(F.col("scan_id").isNotNull() & F.col("repo").isNotNull() & F.col("path").isNotNull() & F.col("seen_at").isNotNull())
-    # All scans of a file meet on (repo, path): a file's own history, never a whole repository.
-    history = s.groupBy("repo", "path").agg(
-        F.max(F.struct("seen_at", "scan_id", "gone", "s_hash")).alias("last"), F.collect_set("scan_id").alias("ids")
-    )
+    # Only the last scan of a file is aggregated, in parts before anything moves; the scans are joined to it, so no history is gathered.
+    history = s.groupBy("repo", "path").agg(F.max(F.struct("seen_at", "scan_id", "gone", "s_hash")).alias("last"))
     state = succeeded_state(files, runs).select(F.col("repo").alias("_repo"), F.col("path").alias("_path"), "f_hash", "indexed_at")
     joined = history.join(state, (F.col("repo") == F.col("_repo")) & (F.col("path") == F.col("_path")), "left")
     same = F.col("last.s_hash").eqNullSafe(F.col("f_hash"))
     due = ~F.col("last.gone") & (F.col("indexed_at").isNull() | ((F.col("indexed_at") < F.col("last.seen_at")) & ~same))
-    return joined.select("repo", "path", F.explode("ids").alias("scan_id"), F.col("last.scan_id").alias("last_id"), due.alias("due")).select(
+    files_due = joined.select("repo", "path", F.col("last.scan_id").alias("last_id"), due.alias("due"))
+    return s.select("scan_id", "repo", "path").distinct().join(files_due, ["repo", "path"]).select(
         "scan_id", "repo", "path", (~F.col("due") | (F.col("scan_id") != F.col("last_id"))).alias("settled")
     )
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltstone.streaming.ledger import BLOCK, IntervalLedger, merge_spans, pending_scans, rows_in, spans, spans_of, subtract, subtract_spans, union
+from siltstone.streaming.ledger import BLOCK, IntervalLedger, merge_spans, pending_scans, rows_in, scan_verdicts, spans, spans_of, subtract, subtract_spans, union
 
 NUMBERS = st.sets(st.integers(0, 60))
 
@@ -104,3 +104,10 @@ def test_pending(spark):
     assert sorted((r.scan_id, r.path) for r in got.collect()) == [(2, "a.py"), (7, "x/e.py"), (8, "f.py")]
     assert pending_scans(scans.limit(0), files, runs_).count() == 0
     assert pending_scans(scans, files.limit(0), runs_).count() == 6
+
+
+def test_no_history_is_gathered(spark):
+    scans = spark.createDataFrame([(1, "r", "a.py", "h1", False, dt.datetime(2025, 1, 1))], "scan_id bigint, repo string, path string, content_hash string, is_deleted boolean, seen_at timestamp")
+    files = spark.createDataFrame([], "repo string, path string, content_hash string, run_id bigint, indexed_at timestamp")
+    plan = scan_verdicts(scans, files, spark.createDataFrame([], "run_id bigint, status string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
