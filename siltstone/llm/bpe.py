@@ -10,8 +10,9 @@ of higher priority takes ``c``, or a symbol on the right edge of what becomes ``
 that one happens depends in turn on a merge of still higher priority further right. Priorities
 strictly rise along such a chain, so the longest chain, in bytes, bounds the influence.
 
-Most pieces are short words that come again and again, so encoded pieces are kept in a bounded
-table in each worker.
+Every text runs through ``Encoder`` and every piece that is no token as a whole through
+``PieceTransducer``, whatever their lengths. Most pieces are short words that come again and again,
+so what the transducer gave for a piece is kept in a bounded table in each worker.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _PIECE = regex.compile(PIECES)
 _GO_ON = (regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+"), regex.compile(r"\s+"), regex.compile(r"[^\s\p{L}\p{N}]+"))
 
 TABLE_SIZE = 400_000
-HELD_CHARS = 4096
+HELD_CHARS = 256
 CHUNK_CHARS = 1 << 16
 
 
@@ -125,6 +126,7 @@ class PieceTransducer:
         self.v = vocabulary
         self.window = max(window, 2 * vocabulary.lookahead)
         self.held = b""
+        self.pieces = 0  # finished so far
 
     def feed(self, more: bytes) -> Iterator[int]:
         for at in range(0, len(more), self.window):
@@ -142,6 +144,7 @@ class PieceTransducer:
         for token in self.v.merge(self.held):
             yield self.v.ids[token]
         self.held = b""
+        self.pieces += 1
 
 
 class _Pieces(dict):
@@ -150,19 +153,15 @@ class _Pieces(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
+        self.transducer = PieceTransducer(vocabulary)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= TABLE_SIZE:
             self.clear()
         raw = piece.encode("utf-8", "surrogatepass")
-        v = self.v
-        if raw in v.ids:
-            out = np.array([v.ids[raw]], "<i4").tobytes()
-        elif len(piece) > HELD_CHARS:
-            t = PieceTransducer(v)
-            return np.array([*t.feed(raw), *t.finish()], "<i4").tobytes()
-        else:
-            out = np.array([v.ids[x] for x in v.merge(raw)], "<i4").tobytes()
+        whole = self.v.ids.get(raw)
+        ids = [whole] if whole is not None else [*self.transducer.feed(raw), *self.transducer.finish()]
+        out = np.array(ids, "<i4").tobytes()
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -228,15 +227,13 @@ class Tokenizer:
     def __init__(self, path: str = DEFAULT_RANKS):
         self.v = Vocabulary(path)
         self.pieces = _Pieces(self.v)
+        self.encoder = Encoder(self.v, self.pieces)
 
     def encode_packed(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(text) <= CHUNK_CHARS:
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
-        e = Encoder(self.v, self.pieces)
-        out = [e.feed(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
-        return b"".join([*out, e.finish()])
+        out = [self.encoder.feed(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
+        return b"".join([*out, self.encoder.finish()])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<i4").tolist()

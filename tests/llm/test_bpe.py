@@ -58,6 +58,16 @@ def test_memory_of_a_piece_stays_bounded(t, library):
     assert ids == library.encode_ordinary("ab" * 700 * 60)
 
 
+def test_every_piece_runs_through_the_transducer(library):
+    t = bpe.Tokenizer()
+    text = "Ungewöhnliche Zwischenrufe, zażółć gęślą jaźń; it's 12345 xq zzq  \n" * 3 + "y" * 9000
+    assert t.encode(text) == library.encode_ordinary(text)
+    pieces = set(bpe._PIECE.findall(text))
+    no_tokens = {p for p in pieces if p.encode() not in t.v.ids}
+    assert len(no_tokens) > 5 and t.pieces.transducer.pieces == len({p for p in no_tokens if len(p) <= 256})
+    assert t.encode("") == [] and t.encoder.held == "" and t.encoder.open is None
+
+
 def test_decoding_bit_by_bit(t):
     text = "naïve 🏴‍☠️ żółć"
     parts = list(t.decode_stream(t.encode(text)))
