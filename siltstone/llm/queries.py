@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_kind, clean_name
-from ..session import table
+from ..session import materialize, table
 from .bpe import encode
 from .garbled import find
 from .mixing import Mixture
 from .provenance import classify_files
-from .terms import marked, term_bitmaps, term_frequencies
+from .terms import marked, remaining_records, term_bitmaps, term_frequencies
 from .validity import check_files, rates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +61,8 @@ def p5_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     symbols = table(spark, d, "symbols").select(
         F.col("symbol_id").alias("id"), F.col("file_id").alias("record"), clean_kind("kind").alias("kind"), clean_name("name").alias("name")
     )
-    bitmaps = term_bitmaps(symbols)
-    remaining = symbols.filter("kind IS NOT NULL AND name IS NOT NULL").agg(F.countDistinct("record")).first()[0]  # one number
-    return marked(term_frequencies(bitmaps), remaining)
+    bitmaps = materialize(term_bitmaps(symbols), "bitmaps")
+    return marked(term_frequencies(bitmaps), remaining_records(bitmaps).scalar())
 
 
 _TERMS_SQL = """

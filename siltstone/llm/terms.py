@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unique_or_row
@@ -166,7 +166,50 @@ def term_bitmaps(rows: DataFrame, chunk: int = 500_000) -> DataFrame:
     )
     parts = once.mapInArrow(_build(chunk), CONTAINERS)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return parts.repartition(n, "kind", "name").sortWithinPartitions("kind", "name", "bucket").mapInArrow(_merge, CONTAINERS)
+    # By bucket too, so that the containers of a hot term spread over all tasks.
+    keys = ("kind", "name", "bucket")
+    return parts.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_merge, CONTAINERS)
+
+
+HELD_BUCKETS = 1024  # bit sets of 8 KB a task holds while it adds up
+
+
+def remaining_records(bitmaps: DataFrame) -> DataFrame:
+    """How many distinct records hold any term: the cardinality of the union of all bitmaps, one row ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            sets = [pack(np.flatnonzero(v).astype(np.uint16)) for v in held.values()]
+            out = pa.record_batch([pa.array([*held], pa.int64()), pa.array(sets, pa.binary())], ["bucket", "ids"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for bucket, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket not in held:
+                    if len(held) >= HELD_BUCKETS // 8:  # a byte a record while adding up
+                        yield flush()
+                    held[bucket] = np.zeros(_BITS, np.uint8)
+                held[bucket][unpack(ids)] = 1
+        yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted input: one bucket is held at a time."""
+        at, held, n = None, np.zeros(_BITS, np.uint8), 0
+        for b in batches:
+            for bucket, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != at:
+                    n += int(held.sum())
+                    held[:] = 0
+                    at = bucket
+                held[unpack(ids)] = 1
+        yield pa.record_batch([pa.array([n + int(held.sum())], pa.int64())], ["n"])
+
+    shape = "bucket bigint, ids binary"
+    parts = bitmaps.select("bucket", "ids").filter(F.length("ids") > 0).mapInArrow(run, shape)
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def term_frequencies(bitmaps: DataFrame) -> DataFrame:
@@ -184,7 +227,11 @@ def term_frequencies(bitmaps: DataFrame) -> DataFrame:
     return each.groupBy("kind", "name").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_files").alias("n_files"))
 
 
-def marked(frequencies: DataFrame, n_records: int, common_share: float = 0.05) -> DataFrame:
-    """The frequencies with ``mark``: rare for one record, else common from ``common_share`` of the records on, else null."""
-    mark = F.when(F.col("n_files") == 1, F.lit("rare")).when(F.col("n_files") >= F.lit(common_share) * F.lit(n_records), F.lit("common"))
+def marked(frequencies: DataFrame, n_records: int | Column, common_share: float = 0.05) -> DataFrame:
+    """The frequencies with ``mark``: rare for one record, else common from ``common_share`` of the records on, else null.
+
+    ``n_records`` is a number or a column, as ``remaining_records(...).scalar()`` is.
+    """
+    n = n_records if isinstance(n_records, Column) else F.lit(n_records)
+    mark = F.when(F.col("n_files") == 1, F.lit("rare")).when(F.col("n_files") >= F.lit(common_share) * n, F.lit("common"))
     return frequencies.withColumn("mark", mark)

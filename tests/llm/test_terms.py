@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from siltstone.llm.terms import DENSE, cardinality, marked, pack, term_bitmaps, term_frequencies, union, unpack
+from siltstone.llm.terms import DENSE, cardinality, marked, pack, remaining_records, term_bitmaps, term_frequencies, union, unpack
 
 SCHEMA = "id bigint, record bigint, kind string, name string, ids string"
 
@@ -49,6 +49,8 @@ def test_brute_force(spark):
     want = {k: (a, len(b)) for k, (a, b) in want.items()}
     assert frequencies(spark, rows) == want
     assert frequencies(spark, rows, chunk=700) == want  # containers of many parts
+    held = {f for i, f, k, n, _ in rows if k is not None and n is not None and f is not None}
+    assert remaining_records(term_bitmaps(spark.createDataFrame(rows, SCHEMA))).first().n == len(held)
 
 
 def test_dense(spark):
@@ -56,8 +58,18 @@ def test_dense(spark):
     assert frequencies(spark, rows) == {("k", "n"): (70_000, 70_000)}
 
 
+def test_a_term_in_all_records_fills_several_tasks(spark):
+    rows = spark.range(40 << 16).selectExpr("id", "id AS record", "'k' AS kind", "'n' AS name")
+    b = term_bitmaps(rows)
+    tasks = {r[0] for r in b.selectExpr("spark_partition_id()", "bucket").distinct().collect()}
+    assert len(tasks) > 1 and b.count() == 40
+    assert [tuple(r) for r in term_frequencies(b).collect()] == [("k", "n", 40 << 16, 40 << 16)]
+    assert remaining_records(b).first().n == 40 << 16
+
+
 def test_empty_and_marks(spark):
     assert frequencies(spark, []) == {}
+    assert remaining_records(term_bitmaps(spark.createDataFrame([], SCHEMA))).first().n == 0
     f = spark.createDataFrame([("k", "one", 3, 1), ("k", "some", 3, 2), ("k", "many", 9, 5)], "kind string, name string, occurrences bigint, n_files bigint")
     assert {r.name: r.mark for r in marked(f, 100).collect()} == {"one": "rare", "some": None, "many": "common"}
 
