@@ -2,9 +2,9 @@
 
 A few names hold most rows, so no step here groups raw rows by name:
 
-1. Rows are made unique by their id (a uniform key) and pre-aggregated per (name, file), which
-   the hot names spread over all their files.
-2. The result is cut into splits by the hash of that pair, so splits are equal however skewed
+1. Rows are made unique by their id (a uniform key) and counted per (name, file, target), over
+   which the hot names spread; distinct (name, file) and (name, target) follow from that.
+2. The result is cut into splits by the hash of these keys, so splits are equal however skewed
    the names are. Each split dictionary-encodes its names and scatters the measures into dense
    arrays with ``numpy.bincount``.
 3. The arrays leave a split as blocks, one row per (split, block); a block holds the names whose
@@ -122,6 +122,7 @@ def key_totals(rows: DataFrame, block_names: int = 20_000, chunk: int = 1_000_00
     Defined cases: a null name is left out, an empty name counts as a name; repeated rows of one id
     count once (if they differ, the smallest by name, file and target); rows without an id count
     each; a null file counts as a record but as no file; an empty input gives an empty result.
+    A block holds about ``block_names`` names.
     """
     cleaned = rows.select(
         "side",
@@ -133,34 +134,29 @@ def key_totals(rows: DataFrame, block_names: int = 20_000, chunk: int = 1_000_00
     unique = (
         cleaned.groupBy("side", "_u").agg(F.min(F.struct("name", "file_id", "target")).alias("r")).select("side", "r.*")
     )
-    per_file = unique.groupBy("side", "name", "file_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count("target").alias("n_resolved"),
-        F.collect_set("target").alias("targets"),
-    )
-    return _reduced(per_file, block_names, chunk)
+    each = unique.groupBy("side", "name", "file_id", "target").agg(F.count(F.lit(1)).alias("n_rows"))
+    # About how many names there are, one number: a block is to hold ``block_names`` of them.
+    n_names = cleaned.select(F.approx_count_distinct("name")).first()[0]
+    return _reduced(each, max(1, -(-n_names // block_names)), chunk)
 
 
-def _reduced(per_file: DataFrame, block_names: int, chunk: int) -> DataFrame:
-    spark = per_file.sparkSession
+def _reduced(each: DataFrame, least_blocks: int, chunk: int) -> DataFrame:
+    spark = each.sparkSession
     splits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     lanes = max(1, int(round(splits**0.5)))
-    n_blocks = max(splits, 8)
+    n_blocks = max(splits, least_blocks, 8)
     block = F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int").alias("block")
     one = F.lit(1).cast("bigint")
     none = F.lit(0).cast("bigint")
-    seen = per_file.select(
-        "side", "name", block, "n_rows",
-        F.when(F.col("file_id").isNotNull(), one).otherwise(none).alias("n_files"),
-        "n_resolved", none.alias("n_targets"),
-    )
-    targets = (
-        per_file.filter(F.size("targets") > 0)
-        .select("side", "name", F.explode("targets").alias("target"))
-        .distinct()
-        .select("side", "name", block, none.alias("n_rows"), none.alias("n_files"), none.alias("n_resolved"), one.alias("n_targets"))
-    )
-    parts = seen.unionByName(targets).mapInArrow(_accumulate(n_blocks, lanes, chunk), _BLOCK_SCHEMA)
+
+    def one_of(rows: DataFrame, measure: str) -> DataFrame:
+        return rows.select("side", "name", block, *[(one if m == measure else none).alias(m) for m in MEASURES])
+
+    counted = each.select("side", "name", block, "n_rows", none.alias("n_files"), F.when(F.col("target").isNotNull(), F.col("n_rows")).otherwise(none).alias("n_resolved"), none.alias("n_targets"))
+    in_files = each.filter(F.col("file_id").isNotNull()).select("side", "name", "file_id").distinct()
+    on_targets = each.filter(F.col("target").isNotNull()).select("side", "name", "target").distinct()
+    rows = counted.unionByName(one_of(in_files, "n_files")).unionByName(one_of(on_targets, "n_targets"))
+    parts = rows.mapInArrow(_accumulate(n_blocks, lanes, chunk), _BLOCK_SCHEMA)
     lane_sums = parts.groupBy("block", "lane").applyInArrow(_reduce(-1), _BLOCK_SCHEMA)
     sums = lane_sums.groupBy("block").applyInArrow(_reduce(0), _BLOCK_SCHEMA)
     return sums.select("side", F.explode(F.arrays_zip("names", *MEASURES)).alias("z")).select(

@@ -46,6 +46,7 @@ def test_skew_and_dirt(spark):
     rows += rnd.sample(rows, 1500)
     assert totals(spark, rows) == brute(rows)
     assert totals(spark, rows, chunk=1000) == brute(rows)  # arrays are flushed and summed again
+    assert totals(spark, rows, block_names=5) == brute(rows)  # more blocks than splits
 
 
 def test_conflicting_rows_of_one_id(spark):
@@ -61,3 +62,9 @@ def test_share_at_the_bound(spark):
     rows = [("symbol", i, "x" if i < 2 else f"y{i}", 1, None) for i in range(100)]
     got = heavy_keys(key_totals(spark.createDataFrame(rows, SCHEMA))).collect()
     assert [(r.side, r.key_name, r.n_rows, r.side_rows) for r in got] == [("symbol", "x", 2, 100)]
+
+
+def test_no_set_of_a_hot_name_is_gathered(spark):
+    df = key_totals(spark.createDataFrame([("symbol", 1, "a", None, "t")], SCHEMA))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
