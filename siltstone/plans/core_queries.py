@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyagg import heavy_keys, key_totals, name_sides
-from ..session import materialize, table
-from ..streaming.ledger import pending_scans
+from ..session import materialize, scratch_dir, table
+from ..streaming.ledger import ledger_runs, pending_scans
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
@@ -24,12 +24,21 @@ def p1_key_totals(spark: SparkSession, d: str) -> DataFrame:
     return _totals(spark, d).withColumnRenamed("name", "key_name")
 
 
+def _p4_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "file_scans"), table(spark, d, "files").select("repo", "path", "content_hash", "run_id", "indexed_at"), table(spark, d, "index_runs")
+
+
+def p4_method(spark: SparkSession, d: str) -> DataFrame:
+    """All scans processed by the interval ledger in three runs, the second of which fails before its commit."""
+    return ledger_runs(*_p4_tables(spark, d), scratch_dir(spark, "ledger"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pending_scans(table(spark, d, "file_scans"), table(spark, d, "files").select("repo", "path", "content_hash", "run_id", "indexed_at"), table(spark, d, "index_runs")).select("repo", "path").distinct()
+    return pending_scans(*_p4_tables(spark, d)).select("repo", "path").distinct()
 
 
 def p4_pending_scans(spark: SparkSession, d: str) -> DataFrame:
-    return pending_scans(table(spark, d, "file_scans"), table(spark, d, "files").select("repo", "path", "content_hash", "run_id", "indexed_at"), table(spark, d, "index_runs"))
+    return pending_scans(*_p4_tables(spark, d))
 
 
 _TOTALS_SQL = """
@@ -66,6 +75,7 @@ WITH RECURSIVE spelled AS (
 QUERIES = {
     "p1_found": p1_found,
     "p1_key_totals": p1_key_totals,
+    "p4_method": p4_method,
     "p4_found": p4_found,
     "p4_pending_scans": p4_pending_scans,
 }
@@ -73,6 +83,7 @@ QUERIES = {
 SQL = {
     "p1_found": _TOTALS_SQL + "SELECT side, key_name FROM k QUALIFY n_rows >= 0.02 * sum(n_rows) OVER (PARTITION BY side)",
     "p1_key_totals": _TOTALS_SQL + "SELECT side, key_name, n_rows, n_files, n_resolved, n_targets FROM k",
+    "p4_method": _P4_SQL + "SELECT DISTINCT s.scan_id, s.repo, n.path, p.scan_id IS NOT NULL AS pending FROM file_scans s JOIN norm n ON n.raw = s.path LEFT JOIN pending p ON p.scan_id = s.scan_id AND p.repo = s.repo AND p.path = n.path",
     "p4_found": _P4_SQL + "SELECT DISTINCT repo, path FROM pending",
     "p4_pending_scans": _P4_SQL + "SELECT scan_id, repo, path FROM pending",
 }

@@ -63,15 +63,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder; what is written there is removed when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/siltstone-{os.getpid()}-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage so that several consumers share one computation and a lost executor never
-    forces an upstream recomputation. The files are removed when the process ends.
+    forces an upstream recomputation. The files are removed when the process ends, or by ``discard``.
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/siltstone-{os.getpid()}-{label}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._siltstone_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``materialize`` wrote, once nothing refers to it any more."""
+    path = getattr(df, "_siltstone_path", None)
+    if path:
+        _remove(df.sparkSession, path)

@@ -3,7 +3,7 @@
 The ledger holds the sequence numbers that have been processed as disjoint half-open intervals.
 A run subtracts them from the available numbers, processes exactly the gaps (late commits lie in
 old gaps and are picked up like new ones), and commits output and merged intervals in one step:
-the output is written beside the ledger, and a single rename of a manifest makes both visible. A
+the output is written beside the ledger, and a manifest that appears in one step makes both visible. A
 run that fails at any moment leaves no manifest, so its numbers stay in the gaps.
 
 Number space is cut into blocks of ``BLOCK`` numbers; a block is one row with two arrays of
@@ -14,6 +14,7 @@ and a block never holds more than ``BLOCK`` numbers.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -154,19 +155,47 @@ def scan_verdicts(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFr
 def pending_scans(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
     """The scans the next run must process: ``scan_id, repo, path``, one per changed file.
 
-    The settled scan numbers make up the processed intervals; they are subtracted from the
-    available numbers and the gaps select the rows.
+    What is due is decided by content hashes and times of the index, which no set of sequence numbers
+    can tell; ``ledger_runs`` has the records processed by intervals.
 
     Defined cases: scans without an id, repository, path or time cannot be placed and are left out;
     repeated rows of one scan count once; a null hash equals only a null hash; a null ``is_deleted``
     is no deletion; files never scanned are no cases; empty tables give an empty result.
     """
-    from ..session import materialize
+    return scan_verdicts(scans, files, runs).filter("NOT settled").select("scan_id", "repo", "path").distinct()
 
-    verdicts = materialize(scan_verdicts(scans, files, runs), "verdicts")
-    available = spans_of(verdicts, "scan_id")
-    processed = spans_of(verdicts.filter("settled"), "scan_id")
-    return rows_in(verdicts, "scan_id", subtract(available, processed)).select("scan_id", "repo", "path").distinct()
+
+def ledger_runs(scans: DataFrame, files: DataFrame, runs: DataFrame, root: str) -> DataFrame:
+    """All scans processed through a ledger at ``root`` in three runs: ``scan_id, repo, path, pending``.
+
+    The first run sees the scans that arrived in the first half of the time they cover, the second
+    all, and fails after its output is written and before it is committed, the third all again: what
+    the second left, late arrivals in old gaps among it, is processed exactly once. Processing a scan
+    finds out whether its file is due by it (``pending``). Scans that ``pending_scans`` cannot place
+    have no verdict and are left out of the output; their numbers count as processed.
+    """
+    ledger = IntervalLedger(scans.sparkSession, root)
+    verdicts = scan_verdicts(scans, files, runs).select(F.col("scan_id").alias("_id"), "repo", "path", (~F.col("settled")).alias("pending"))
+
+    def process(rows: DataFrame) -> DataFrame:
+        ids = rows.select(F.col("scan_id").cast("bigint").alias("scan_id")).distinct()
+        return ids.join(verdicts, F.col("scan_id") == F.col("_id")).select("scan_id", "repo", "path", "pending")
+
+    class Lost(Exception):
+        pass
+
+    def lose() -> None:
+        raise Lost
+
+    numbered = scans.select("scan_id", "arrived_at")
+    bound = numbered.agg(F.expr("min(arrived_at) + (max(arrived_at) - min(arrived_at)) / 2")).first()[0]  # one moment
+    ledger.run(numbered.filter(F.col("arrived_at") <= F.lit(bound)), "scan_id", process)
+    try:
+        ledger.run(numbered, "scan_id", process, before_commit=lose)
+    except Lost:
+        pass
+    ledger.run(numbered, "scan_id", process)
+    return ledger.read_outputs("scan_id bigint, repo string, path string, pending boolean")
 
 
 class IntervalLedger:
@@ -202,11 +231,18 @@ class IntervalLedger:
         """Folders of committed outputs; anything else in the ledger's folder is debris of failed runs."""
         return self.manifest()["outputs"]
 
-    def run(self, rows: DataFrame, column: str, process: Callable[[DataFrame], DataFrame]) -> int:
+    def read_outputs(self, schema: str) -> DataFrame:
+        """The rows of all committed outputs."""
+        at = self.outputs()
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+
+    def run(self, rows: DataFrame, column: str, process: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None = None) -> int:
         """Process the unprocessed rows and commit; returns the new version (or the old, with nothing to do).
 
         Another run may commit meanwhile: taking a version that exists fails, and this run's output
-        is then left uncommitted, so no record is processed into two committed outputs.
+        is then left uncommitted, so no record is processed into two committed outputs. ``before_commit``
+        runs between output and commit. Rows without a number cannot be told processed from unprocessed
+        and are left out. The rows are read twice, their numbers first, so they must be the same each time.
         """
         before = self.manifest()
         gaps = subtract(spans_of(rows, column), self.processed())
@@ -219,18 +255,39 @@ class IntervalLedger:
         process(rows_in(rows, column, gaps)).write.parquet(out_at)
         union(self.processed(), gaps).write.parquet(spans_at)
         after = {"version": before["version"] + 1, "spans": spans_at, "outputs": [*before["outputs"], out_at]}
+        if before_commit:
+            before_commit()
         self._publish(after)
         return after["version"]
 
     def _publish(self, manifest: dict) -> None:
-        # The manifest is written aside and renamed, so readers never see a part of it. A file system whose rename
-        # refuses an existing target (as HDFS does) lets exactly one of two runs at the same moment take the version.
-        staged = self._path(f"{self.root}/.staged-{uuid.uuid4().hex}")
-        stream = self._fs.create(staged, False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
+        # Written aside, then made visible in one step that fails where the version exists, so that exactly one of
+        # two runs takes it and readers never see a part: a hard link on a local file system, a rename on HDFS, which
+        # refuses an existing target, and elsewhere (object stores, whose files appear when closed) a create that must
+        # not overwrite, which the store has to support as a conditional write.
+        text = bytearray(json.dumps(manifest).encode())
         target = self._path(f"{self.root}/v{manifest['version']}.json")
-        if self._fs.exists(target) or not self._fs.rename(staged, target):
+        taken = RuntimeError(f"version {manifest['version']} was committed by another run")
+        scheme = self._fs.getScheme()
+        if scheme not in ("file", "hdfs", "viewfs", "webhdfs"):
+            try:
+                self._write(target, text)
+            except Exception as e:
+                raise taken from e
+            return
+        staged = self._path(f"{self.root}/.staged-{uuid.uuid4().hex}")
+        self._write(staged, text)
+        try:
+            if scheme == "file":
+                os.link(staged.toUri().getPath(), target.toUri().getPath())
+            elif not self._fs.rename(staged, target):
+                raise taken
+        except FileExistsError as e:
+            raise taken from e
+        finally:
             self._fs.delete(staged, False)
-            raise RuntimeError(f"version {manifest['version']} was committed by another run")
 
+    def _write(self, path, text: bytearray) -> None:
+        stream = self._fs.create(path, False)
+        stream.write(text)
+        stream.close()

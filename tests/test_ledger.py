@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltstone.streaming.ledger import BLOCK, IntervalLedger, merge_spans, pending_scans, rows_in, scan_verdicts, spans, spans_of, subtract, subtract_spans, union
+from siltstone.streaming.ledger import BLOCK, IntervalLedger, ledger_runs, merge_spans, pending_scans, rows_in, scan_verdicts, spans, spans_of, subtract, subtract_spans, union
 
 NUMBERS = st.sets(st.integers(0, 60))
 
@@ -80,6 +80,35 @@ def test_two_runs_at_once(spark, tmp_path):
     assert len(ledger.outputs()) == 1
 
 
+def test_a_failure_before_the_commit(spark, tmp_path):
+    ledger = IntervalLedger(spark, f"file://{tmp_path}/ledger")
+
+    def lose():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        ledger.run(numbers(spark, [1, 2, None]), "n", lambda d: d, before_commit=lose)
+    assert ledger.outputs() == [] and ledger.read_outputs("n bigint").count() == 0
+    assert ledger.run(numbers(spark, [1, 2, 3, None]), "n", lambda d: d) == 1
+    assert sorted(r.n for r in ledger.read_outputs("n bigint").collect()) == [1, 2, 3]
+    assert not [p for p in (tmp_path / "ledger").iterdir() if p.name.startswith(".staged")]
+
+
+def test_runs_over_scans(spark, small, sql, tmp_path):
+    from siltstone.plans.core_queries import QUERIES, SQL
+
+    from .helpers import same_as_sql
+
+    same_as_sql(QUERIES["p4_method"](spark, small), sql, SQL["p4_method"])
+    done = QUERIES["p4_method"](spark, small)
+    due = {tuple(r) for r in done.filter("pending").select("scan_id", "repo", "path").collect()}
+    assert due == {tuple(r) for r in QUERIES["p4_pending_scans"](spark, small).collect()}
+    assert done.count() == done.select("scan_id").distinct().count()
+    scans = spark.read.parquet(f"{small}/file_scans.parquet").limit(0)
+    files, runs_ = (spark.read.parquet(f"{small}/{x}.parquet") for x in ("files", "index_runs"))
+    assert ledger_runs(scans, files, runs_, f"file://{tmp_path}/none").count() == 0
+
+
 def test_pending(spark):
     t = lambda h: dt.datetime(2025, 1, 1, h)
     scans = spark.createDataFrame(
