@@ -10,12 +10,11 @@ definitions are formed; only ``targets`` expands the ambiguous asks, whose resul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.text import normalize_path
-from ..session import materialize
 
 _KEY = ["repo", "path", "language", "target_name"]
 
@@ -72,26 +71,52 @@ def by_class(asks: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy(*_KEY).agg(F.coalesce(F.min(inside), F.min("_p")).alias("target"))
 
 
-def by_folder(asks: DataFrame, files: DataFrame) -> DataFrame:
-    """Go packages and Java wildcards: the key and ``target`` for every file of the folders asked for."""
+def _folders(asks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Go packages and Java wildcards as ``key, dir``: the folder whose files, and the folder below which the files are asked for."""
     go = asks.filter("language = 'go'")
     folders = files.select("repo", F.expr(t.dirname("path")).alias("dir")).distinct()
     # A folder is found by its whole path or by what follows any slash in it.
     suffixes = folders.select(
         F.col("repo").alias("_r"), "dir", F.explode(F.expr("transform(sequence(1, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), i, size(split(dir, '/'))), '/'))")).alias("_s")
     )
-    hits = go.join(suffixes, (F.col("repo") == F.col("_r")) & (F.col("target_name") == F.col("_s"))).withColumn("exact", F.expr("dir = target_name"))
-    best = hits.groupBy(*_KEY).agg(F.max("exact").alias("_whole"))
-    chosen = hits.drop("_r").join(best, _KEY).filter("exact or not _whole").select(*_KEY, "dir")
-    in_dir = files.select(F.col("repo").alias("_r"), F.expr(t.dirname("path")).alias("_d"), F.col("path").alias("target"))
-    packages = chosen.join(in_dir, (F.col("repo") == F.col("_r")) & (F.col("dir") == F.col("_d"))).select(*_KEY, "target")
-    star = asks.filter("language = 'java' and endswith(target_name, '.*')").withColumn("_dir", F.expr("replace(substring(target_name, 1, length(target_name) - 2), '.', '/')"))
-    above = files.filter(F.expr("endswith(path, '.java') and contains(path, '/')")).select(
-        F.col("repo").alias("_r"), F.col("path").alias("target"),
-        F.explode(F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("_a"),
-    )
-    wild = star.join(above, (F.col("repo") == F.col("_r")) & (F.col("_dir") == F.col("_a"))).select(*_KEY, "target")
-    return packages.unionByName(wild)
+    hits = go.join(suffixes, (F.col("repo") == F.col("_r")) & (F.col("target_name") == F.col("_s"))).select(*_KEY, "dir", F.expr("dir = target_name").alias("exact"))
+    # A whole path wins over suffixes; there is one such folder at most.
+    whole = hits.withColumn("whole", F.max("exact").over(Window.partitionBy(*_KEY)))
+    packages = whole.filter("exact or not whole").select(*_KEY, "dir")
+    star = asks.filter("language = 'java' and endswith(target_name, '.*')").select(*_KEY, F.expr("replace(substring(target_name, 1, length(target_name) - 2), '.', '/')").alias("dir"))
+    return packages, star
+
+
+def _in_folder(files: DataFrame) -> DataFrame:
+    """``_r, _d, target``: every file in its folder."""
+    return files.select(F.col("repo").alias("_r"), F.expr(t.dirname("path")).alias("_d"), F.col("path").alias("target"))
+
+
+def _below(files: DataFrame) -> DataFrame:
+    """``_r, _d, target``: every Java file in each folder above it."""
+    above = "transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))"
+    return files.filter("endswith(path, '.java') and contains(path, '/')").select(F.col("repo").alias("_r"), F.explode(F.expr(above)).alias("_d"), F.col("path").alias("target"))
+
+
+def _meet(asked: DataFrame, held: DataFrame) -> DataFrame:
+    return asked.join(held, (F.col("repo") == F.col("_r")) & (F.col("dir") == F.col("_d")))
+
+
+def by_folder(asks: DataFrame, files: DataFrame) -> DataFrame:
+    """Go packages and Java wildcards: the key, how many files are meant (``n_targets``) and the first, ``target``; none is expanded."""
+
+    def total(held: DataFrame) -> DataFrame:
+        return held.groupBy("_r", "_d").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"))
+
+    packages, star = _folders(asks, files)
+    met = _meet(packages, total(_in_folder(files))).unionByName(_meet(star, total(_below(files))))
+    return met.groupBy(*_KEY).agg(F.sum("n").alias("n_targets"), F.min("target").alias("target"))
+
+
+def files_of_folders(asks: DataFrame, files: DataFrame) -> DataFrame:
+    """The same asks expanded: the key and ``target`` for every file of the folders asked for."""
+    packages, star = _folders(asks, files)
+    return _meet(packages, _in_folder(files)).unionByName(_meet(star, _below(files))).select(*_KEY, "target")
 
 
 def _lookup_name() -> F.Column:
@@ -115,21 +140,24 @@ def definitions(symbols: DataFrame) -> DataFrame:
 def by_symbol(asks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Asks looked up by symbol name: the key, ``lookup``, ``n_targets`` and, if only one, ``target``.
 
-    A file's own definitions don't count, except for Java.
+    A file's own definitions don't count, except for Java. The totals of a name meet one row per folder
+    that asks for it, and the asks meet these rows by (name, folder), so the askers of a hot name spread.
     """
-    bag = materialize(definitions(symbols), "bag")
+    bag = definitions(symbols)
 
     def totals(by: list[str], tag: str) -> DataFrame:
         g = bag.withColumn("dir", F.expr(t.dirname("path"))).withColumn("top", F.expr(_top("path"))).groupBy("repo", "name", *by)
         out = g.agg(F.sum("n").alias(f"{tag}_n"), F.min("path").alias(f"{tag}_lo"), F.max("path").alias(f"{tag}_hi"))
         return out.select(*[F.col(c).alias(f"_{tag}_{c}") for c in ("repo", "name", *by)], f"{tag}_n", f"{tag}_lo", f"{tag}_hi")
 
-    a = asks.withColumn("lookup", _lookup_name()).filter("lookup is not null")
-    a = a.withColumns({"_dir": F.expr(t.dirname("path")), "_top": F.expr(_top("path"))})
+    asked = asks.withColumn("lookup", _lookup_name()).filter("lookup is not null").withColumn("_dir", F.expr(t.dirname("path")))
     same = lambda tag: (F.col("repo") == F.col(f"_{tag}_repo")) & (F.col("lookup") == F.col(f"_{tag}_name"))
-    a = a.join(totals([], "all"), same("all"))
-    a = a.join(totals(["dir"], "dir"), same("dir") & (F.col("_dir") == F.col("_dir_dir")), "left")
-    a = a.join(totals(["top"], "top"), same("top") & (F.col("_top") == F.col("_top_top")), "left")
+    places = asked.select("repo", "lookup", "_dir", F.expr(_top("path")).alias("_top")).distinct()
+    places = places.join(totals([], "all"), same("all"))
+    places = places.join(totals(["dir"], "dir"), same("dir") & (F.col("_dir") == F.col("_dir_dir")), "left")
+    places = places.join(totals(["top"], "top"), same("top") & (F.col("_top") == F.col("_top_top")), "left")
+    places = places.select(F.col("repo").alias("_pl_repo"), F.col("lookup").alias("_pl_name"), F.col("_dir").alias("_pl_dir"), *[f"{g}_{x}" for g in ("all", "dir", "top") for x in ("n", "lo", "hi")])
+    a = asked.join(places, same("pl") & (F.col("_dir") == F.col("_pl_dir")))
     own = bag.select(F.col("repo").alias("_own_repo"), F.col("name").alias("_own_name"), F.col("path").alias("_own_path"), F.col("n").alias("own_n"))
     a = a.join(own, same("own") & (F.col("path") == F.col("_own_path")) & (F.col("language") != "java"), "left")
 
@@ -151,31 +179,29 @@ def resolve(files: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """How every ask is resolved: the key, ``how``, ``n_targets``, ``target`` (the only or first one), ``lookup``.
 
     ``how`` is ``path``, ``class``, ``folder``, ``symbol`` or ``ambiguous``; unresolved asks (external
-    names) are left out. Ambiguous asks are not expanded here.
+    names) are left out. Ambiguous asks are not expanded here. Every way is tried for every ask it is
+    open to, and the first in this order that gives anything is taken; nothing is written on the way.
     """
-    # Each stage works on what the one before left, written once: the plan of a stage stays small.
-    asks = materialize(asks_of(refs), "asks")
-    paths = materialize(by_path(asks, files), "paths")
-    rest = materialize(asks.join(paths.select(*_KEY), _KEY, "left_anti"), "rest")
-    classes = materialize(by_class(rest, files), "classes")
-    folders = materialize(by_folder(rest, files).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_targets"), F.min("target").alias("target")), "folders")
-    met = classes.select(*_KEY).unionByName(folders.select(*_KEY))
-    folders = folders.join(classes.select(*_KEY), _KEY, "left_anti")
-    names = by_symbol(rest.join(met, _KEY, "left_anti"), symbols)
-    one = F.lit(1).cast("bigint").alias("n_targets")
-    none = F.lit(None).cast("string").alias("lookup")
-    return (
-        paths.select(*_KEY, F.lit("path").alias("how"), one, "target", none)
-        .unionByName(classes.select(*_KEY, F.lit("class").alias("how"), one, "target", none))
-        .unionByName(folders.select(*_KEY, F.lit("folder").alias("how"), "n_targets", "target", none))
-        .unionByName(names.select(*_KEY, F.when(F.col("target").isNull(), "ambiguous").otherwise("symbol").alias("how"), "n_targets", "target", "lookup"))
+    asks = asks_of(refs)
+    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("string")
+
+    def way(order: int, found: DataFrame, how, n_targets=one, lookup=none) -> DataFrame:
+        return found.select(*_KEY, F.struct(F.lit(order).alias("order"), how.alias("how"), n_targets.alias("n_targets"), F.col("target").alias("target"), lookup.alias("lookup")).alias("way"))
+
+    names = by_symbol(asks, symbols)
+    ways = (
+        way(0, by_path(asks, files), F.lit("path"))
+        .unionByName(way(1, by_class(asks, files), F.lit("class")))
+        .unionByName(way(2, by_folder(asks, files), F.lit("folder"), F.col("n_targets")))
+        .unionByName(way(3, names, F.when(F.col("target").isNull(), "ambiguous").otherwise("symbol"), F.col("n_targets"), F.col("lookup")))
     )
+    return ways.groupBy(*_KEY).agg(F.min_by("way", F.col("way.order")).alias("w")).select(*_KEY, "w.how", "w.n_targets", "w.target", "w.lookup")
 
 
 def targets(resolved: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every (ask, target file): the key and ``target``, folders and ambiguous asks expanded."""
     single = resolved.filter("how in ('path', 'class', 'symbol')").select(*_KEY, "target")
-    folders = by_folder(resolved.filter("how = 'folder'").select(*_KEY), files)
+    folders = files_of_folders(resolved.filter("how = 'folder'").select(*_KEY), files)
     bag = definitions(symbols).select(F.col("repo").alias("_r"), F.col("name").alias("_n"), F.col("path").alias("_p"))
     many = resolved.filter("how = 'ambiguous'").join(bag, (F.col("repo") == F.col("_r")) & (F.col("lookup") == F.col("_n")))
     every = many.filter("language = 'java' or _p <> path").select(*_KEY, F.col("_p").alias("target"))

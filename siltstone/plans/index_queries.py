@@ -29,15 +29,14 @@ def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return index.current_files(table(spark, d, "files"), columns or index.COLUMNS)
 
 
-_built: dict[tuple[str, str], DataFrame] = {}
+def indexed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current files, written once because a query refers to them several times."""
+    return materialize(files(spark, d, *columns), "files")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of a folder's files; like an engine's index, they are built once a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _built:
-        _built[key] = materialize(graph.build(materialize(files(spark, d, "language", "symbols", "refs"), "files")), "edges")
-    return _built[key]
+    """The edges of a folder's files, built from the tables by every query that asks for them."""
+    return materialize(graph.build(indexed(spark, d, "language", "symbols", "refs")), "edges")
 
 
 BASE = r"""
@@ -278,7 +277,7 @@ SQL["test_edges"] = (
 
 @_query
 def edge_merge(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d)
+    return graph.build(indexed(spark, d, "language", "symbols", "refs"))
 
 
 SQL["edge_merge"] = BASE + _EDGES + "SELECT repo, src, dst, kind, symbols FROM e"
