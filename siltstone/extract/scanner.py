@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 MAX_SIGNATURE = 200
 
@@ -267,6 +269,14 @@ def _java(text: str, bare: str) -> tuple[list[Found], list[Found]]:
     return symbols, refs
 
 
+def reader(language: str) -> Callable:
+    """The scanner of a language; ``ValueError`` for one that is not supported."""
+    readers = {"python": _python, "go": _go, "rust": _rust, "java": _java, "typescript": partial(_script, typed=True), "javascript": partial(_script, typed=False)}
+    if language not in readers:
+        raise ValueError(f"unsupported language: {language}")
+    return readers[language]
+
+
 def scan(text: str, language: str, path: str) -> tuple[list[dict], list[dict]]:
     """Symbols and references of a text as rows of the index; empty for languages not known.
 
@@ -274,9 +284,7 @@ def scan(text: str, language: str, path: str) -> tuple[list[dict], list[dict]]:
     """
     if language not in _BLANK or not text:
         return [], []
-    bare = blank(text, language)
-    readers = {"python": _python, "go": _go, "rust": _rust, "java": _java}
-    symbols, refs = readers[language](text, bare) if language in readers else _script(text, bare, language == "typescript")
+    symbols, refs = reader(language)(text, blank(text, language))
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     line = lambda at: bisect_right(starts, at)
     methods = {line(s.at) for s in symbols if s.kind == "method"}
@@ -291,18 +299,17 @@ def scan(text: str, language: str, path: str) -> tuple[list[dict], list[dict]]:
     return out, found
 
 
-#: Import patterns for text that is only searched, by language.
+#: The import patterns of text that is only searched, by language, in the order they are tried.
 IMPORT_PATTERNS = {
-    "python": (r"^[ \t]*import\s+([\w.]+)", r"^[ \t]*from\s+([\w.]+)\s+import\b"),
-    "typescript": (r"^[ \t]*(?:import|export)\b[^'\"\n]*['\"]([^'\"\n]+)['\"]", r"\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)"),
-    "javascript": (r"^[ \t]*(?:import|export)\b[^'\"\n]*['\"]([^'\"\n]+)['\"]", r"\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)"),
-    "go": (r"^[ \t]*(?:import\s+)?(?:[\w.]+[ \t]+)?\"([^\"\n]+)\"[ \t]*$",),
-    "rust": (r"^[ \t]*(?:pub\s+)?use\s+([\w:]+)",),
-    "java": (r"^[ \t]*import\s+(?:static\s+)?([\w.]+)",),
+    "python": (r"^\s*import\s+([\w.]+)", r"^\s*from\s+([\w.]+)\s+import"),
+    "typescript": (r"""^\s*import\s+.*?from\s+['"]([^'"]+)['"]""",),
+    "javascript": (r"""^\s*import\s+.*?from\s+['"]([^'"]+)['"]""", r"""^\s*(?:const|let|var)\s+.*?=\s*require\s*\(\s*['"]([^'"]+)['"]\s*\)"""),
+    "go": (r"""^\s*"([^"]+)"\s*$""",),
+    "rust": (r"^\s*use\s+([\w:]+)",),
+    "java": (r"^\s*import\s+([\w.]+)",),
 }
 
 
 def search_imports(text: str, language: str) -> list[tuple[str, int]]:
-    """Import targets with their lines by patterns alone."""
-    hits = [(m.start(1), m.group(1)) for p in IMPORT_PATTERNS.get(language, ()) for m in re.finditer(p, text, re.M)]
-    return [(name, text.count("\n", 0, at) + 1) for at, name in sorted(hits)]
+    """Import targets by patterns alone, pattern by pattern, with the line each match begins on (blank lines before it belong to it)."""
+    return [(m.group(1), text.count("\n", 0, m.start()) + 1) for p in IMPORT_PATTERNS.get(language, ()) for m in re.finditer(p, text, re.M)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize, scratch_dir
 
 ALPHA, MAX_STEPS, TOLERANCE = 0.85, 100, 1e-6
 KERNEL_EDGES = 500_000
@@ -33,39 +33,24 @@ def start_vector(nodes: DataFrame, personal: DataFrame | None = None) -> DataFra
     return each.join(total, F.col("repo") == F.col("_r")).select("repo", "path", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1.0 / F.col("n")).alias("p"))
 
 
-def adjacency(start: DataFrame, weights: DataFrame) -> DataFrame:
-    """``repo, path, p, out`` with the out-edges' shares ``out array<struct<dst, share>>`` of every node."""
-    out = weights.groupBy(F.col("repo").alias("_r"), F.col("src").alias("_s")).agg(F.collect_list(F.struct("dst", "weight")).alias("o"), F.sum("weight").alias("total"))
-    joined = start.join(out, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_s")), "left")
-    return joined.select("repo", "path", "p", F.expr("transform(coalesce(o, array()), x -> struct(x.dst as dst, x.weight / total as share))").alias("out"))
+def links_of(weights: DataFrame) -> DataFrame:
+    """``repo, src, dst, share``: every edge with its share of what leaves its source; a row an edge, so that a hub's can be split."""
+    out = weights.groupBy(F.col("repo").alias("_r"), F.col("src").alias("_s")).agg(F.sum("weight").alias("total"))
+    return weights.join(out, (F.col("repo") == F.col("_r")) & (F.col("src") == F.col("_s"))).select("repo", "src", "dst", (F.col("weight") / F.col("total")).alias("share"))
 
 
-def step(state: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """One iteration on ``repo, path, p, out, x``; adds the change as ``delta``.
+def step(state: DataFrame, links: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """One iteration on ``repo, path, p, sink, x``; adds the change as ``delta``. Along the edges only ranks move.
 
-    What a node passes on, its own row and its part of the dangling mass go into one aggregation; the
-    dangling mass is a sum per repository, joined back as one row each.
+    The mass of nodes without outgoing edges is a sum per repository, joined back as one row each.
     """
-    lost = state.filter(F.size("out") == 0).groupBy(F.col("repo").alias("_r")).agg(F.sum("x").alias("lost"))
-    sent = state.select(
-        "repo",
-        F.explode(F.expr(f"concat(array(struct(path as path, 0.0D as x, true as own)), transform(out, o -> struct(o.dst as path, {alpha}D * x * o.share as x, false as own)))")).alias("m"),
-        F.struct("p", "out", "x").alias("row"),
-    ).select("repo", "m.path", "m.x", F.when(F.col("m.own"), F.col("row")).alias("row"))
-    met = sent.groupBy("repo", "path").agg(F.sum("x").alias("got"), F.first("row", ignorenulls=True).alias("row"))
-    new = met.join(lost, F.col("repo") == F.col("_r"), "left")
-    x = (1 - alpha) * F.col("row.p") + F.col("got") + alpha * F.coalesce("lost", F.lit(0.0)) * F.col("row.p")
-    return new.select("repo", "path", "row.p", "row.out", x.alias("x"), F.abs(x - F.col("row.x")).alias("delta"))
-
-
-def unrolled(start: DataFrame, weights: DataFrame, steps: int, alpha: float = ALPHA) -> DataFrame:
-    """A fixed number of steps: ``repo, path, score``, normalised per repository."""
-    state = adjacency(start, weights).withColumn("x", F.col("p"))
-    for k in range(steps):
-        state = step(state, alpha).drop("delta")
-        if k % 3 == 2:
-            state = materialize(state, "pagerank")
-    return _normalised(state)
+    lost = state.filter("sink").groupBy(F.col("repo").alias("_l")).agg(F.sum("x").alias("lost"))
+    x = state.select(F.col("repo").alias("_r"), F.col("path").alias("_s"), "x")
+    sent = links.join(x, (F.col("repo") == F.col("_r")) & (F.col("src") == F.col("_s")))
+    got = sent.groupBy(F.col("repo").alias("_g"), F.col("dst").alias("_d")).agg((F.sum(F.col("x") * F.col("share")) * alpha).alias("got"))
+    met = state.join(got, (F.col("repo") == F.col("_g")) & (F.col("path") == F.col("_d")), "left").join(lost, F.col("repo") == F.col("_l"), "left")
+    new = (1 - alpha) * F.col("p") + F.coalesce("got", F.lit(0.0)) + alpha * F.coalesce("lost", F.lit(0.0)) * F.col("p")
+    return met.select("repo", "path", "p", "sink", new.alias("x"), F.abs(new - F.col("x")).alias("delta"))
 
 
 def _normalised(state: DataFrame) -> DataFrame:
@@ -74,19 +59,34 @@ def _normalised(state: DataFrame) -> DataFrame:
 
 
 def distributed(start: DataFrame, weights: DataFrame, alpha: float = ALPHA, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The loop over large graphs: a repository stops when its change is below its nodes times the tolerance."""
-    state = materialize(adjacency(start, weights).withColumn("x", F.col("p")), "pagerank")
-    done: DataFrame | None = None
-    for _ in range(max_steps):
-        state = materialize(step(state, alpha), "pagerank")
-        moving = state.groupBy(F.col("repo").alias("_r")).agg(F.sum("delta").alias("d"), F.count(F.lit(1)).alias("n")).withColumn("stop", F.expr(f"d < n * {tolerance}D"))
-        moving = materialize(moving, "moving")
-        still = state.join(moving.filter("stop"), F.col("repo") == F.col("_r"), "left_semi").drop("delta")
-        done = still if done is None else done.unionByName(still)
-        state = state.join(moving.filter("not stop"), F.col("repo") == F.col("_r"), "left_semi").drop("delta")
-        if moving.filter("not stop").isEmpty():
+    """The loop over large graphs: a repository stops when its change is below its nodes times the tolerance.
+
+    Finished repositories are appended to one folder; of the states written only the last is kept.
+    """
+    spark = start.sparkSession
+    links = materialize(links_of(weights), "links")
+    sources = links.select(F.col("repo").alias("_r"), F.col("src").alias("_s"), F.lit(False).alias("_out")).distinct()
+    state = start.join(sources, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_s")), "left")
+    state = materialize(state.select("repo", "path", "p", F.coalesce("_out", F.lit(True)).alias("sink"), F.col("p").alias("x"), F.lit(0.0).alias("delta")), "pagerank")
+    done, shape = scratch_dir(spark, "ranks"), "repo string, path string, x double"
+    for k in range(max_steps):
+        new = materialize(step(state, links, alpha), "pagerank")
+        discard(state)
+        change = new.groupBy(F.col("repo").alias("_r")).agg(F.sum("delta").alias("d"), F.count(F.lit(1)).alias("n"))
+        change = materialize(change.select("_r", F.expr(f"d < n * {tolerance}D or {str(k == max_steps - 1).lower()}").alias("stop")), "change")
+        within = lambda which: new.join(change.filter(which), F.col("repo") == F.col("_r"), "left_semi")  # noqa: B023, E731
+        still, more = change.filter("stop").isEmpty(), not change.filter("not stop").isEmpty()
+        if not still:
+            within("stop").select("repo", "path", "x").write.mode("append").parquet(done)
+        state = new if still or not more else materialize(within("not stop"), "pagerank")
+        if state is not new:
+            discard(new)
+        discard(change)
+        if not more:
             break
-    return _normalised(state.unionByName(done))
+    discard(state)
+    discard(links)
+    return _normalised(spark.read.schema(shape).parquet(done))
 
 
 def power_iteration(p: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, alpha: float = ALPHA, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> np.ndarray:

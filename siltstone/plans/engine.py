@@ -116,7 +116,7 @@ class Engine:
 
     def evidence_for_query(self, text: str, limit: int = 8, symbol_limit: int = 5, neighbor_limit: int = 3) -> dict:
         """A structured evidence pack for a question."""
-        empty = {"mode": "query", "confidence": 0.0, "files": [], "query": text, "seed_files": [], "matched_terms": [], "missed_terms": []}
+        empty = {"mode": "query", "query": text, "seed_files": [], "confidence": 0.0, "matched_terms": [], "missed_terms": [], "files": []}
         if not text or not words_of(text):
             return empty
         got = evidence.query_evidence(self.files, self.edges, text, limit, symbol_limit, neighbor_limit).first()
@@ -124,7 +124,7 @@ class Engine:
 
     def evidence_for_files(self, files: Sequence[str], limit: int = 8, symbol_limit: int = 5, neighbor_limit: int = 3) -> dict:
         """A structured evidence pack around files."""
-        empty = {"mode": "files", "confidence": 0.0, "files": [], "query": None, "seed_files": [], "matched_terms": [], "missed_terms": []}
+        empty = {"mode": "files", "query": None, "seed_files": [], "confidence": 0.0, "matched_terms": [], "missed_terms": [], "files": []}
         seeds, missing = self._seeds(files)
         got = evidence.file_evidence(self.files, self.edges, seeds, limit, symbol_limit, neighbor_limit).first() if files else None
         out = {**empty, **_plain(got)} if got else empty

