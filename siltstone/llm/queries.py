@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_kind, clean_name
 from ..session import materialize, table
 from .bpe import encode
-from .garbled import find
+from .garbled import find, predicted
 from .mixing import Mixture
 from .provenance import classify_files
 from .terms import marked, remaining_records, term_bitmaps, term_frequencies
@@ -97,6 +97,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+@_query
+def p8_method(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier's word alone, before words and bigrams counted over all texts decide."""
+    return predicted(table(spark, d, "documents"))
+
+
 @_query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find(table(spark, d, "documents")).select("doc_id")
