@@ -36,19 +36,23 @@ def p2_file_sorts(spark: SparkSession, d: str) -> DataFrame:
     return classify_files(table(spark, d, "files"), table(spark, d, "upstream_files"))
 
 
+# JavaScript is judged as a module whatever the extension, so only TypeScript's own extension brings JSX with it.
+_MARKUP = (".tsx",)
+
+
 @_query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return check_files(table(spark, d, "files"), detail=False).filter("NOT valid").select("file_id")
+    return check_files(table(spark, d, "files"), detail=False, markup=_MARKUP).filter("NOT valid").select("file_id")
 
 
 @_query
 def p3_invalid_files(spark: SparkSession, d: str) -> DataFrame:
-    return check_files(table(spark, d, "files")).filter("NOT valid")
+    return check_files(table(spark, d, "files"), markup=_MARKUP).filter("NOT valid")
 
 
 @_query
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rates(check_files(table(spark, d, "files"), detail=False))
+    return rates(check_files(table(spark, d, "files"), detail=False, markup=_MARKUP))
 
 
 @_query

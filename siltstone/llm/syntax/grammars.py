@@ -6,6 +6,8 @@ modules, TypeScript, Go, Rust 2021, Java 17).
 
 from __future__ import annotations
 
+import re
+
 # ---------------------------------------------------------------- JavaScript and TypeScript
 
 JS_RESERVED = """break case catch class const continue debugger default delete do else enum export extends finally for function if
@@ -31,7 +33,7 @@ Export = Decorator* 'export' (ExportMore / '*' ('as' (WORD / STR))? 'from' STR A
 ExportDefault = AnonFunc / Decorator* AnonClass / DefaultMore / !('function' / 'class') Assign Eos
 ExportSpecs = (ExportSpec (',' ExportSpec)* ','?)?
 ExportSpec = TypeOnly? (WORD / STR) ('as' (WORD / STR))?
-Stmt := Block / VarStmt / LexDecl / ';' / If / For / 'while' P(Expr) Stmt / 'do' Stmt 'while' P(Expr) ';'? / ('continue' / 'break') (NONL Id)? Eos / 'return' (NONL !END !';' Expr)? Eos / 'throw' NONL Expr Eos / Try / 'switch' P(Expr) B(Cases) / 'debugger' Eos / FuncDecl / ClassDecl / Declaration / Id ':' Stmt / ExprStmt
+Stmt := Block / VarStmt / LexDecl / ';' / If / For / 'while' P(Expr) Stmt / 'do' Stmt 'while' P(Expr) ';'? / ('continue' / 'break') (NONL Id)? Eos / Return (NONL !END !';' Expr)? Eos / 'throw' NONL Expr Eos / Try / 'switch' P(Expr) B(Cases) / 'debugger' Eos / FuncDecl / ClassDecl / Declaration / Id ':' Stmt / ExprStmt
 ExprStmt = !('function' / 'class' / BRACEDANY) Expr Eos
 BRACEDANY = B(ANY*)
 Block = B(StmtList)
@@ -49,48 +51,57 @@ ArrPatEl = RestPat / BindElem
 BindElem = (Id / Pattern) Init?
 Init = '=' Assign
 If = 'if' P(Expr) Stmt ('else' Stmt)?
-For = 'for' 'await'? P(ForHead) Stmt
+For = 'for' Await? P(ForHead) Stmt
 ForHead = (('var' / 'let' / 'const') (Id / Pattern) / ForTarget) ('of' Assign / 'in' Expr) / ForInit? ';' Expr? ';' Expr?
 ForTarget = Target / S(ArrLit) / B(Props)
 ForInit = ('var' / 'let') VarBinding (',' VarBinding)* / 'const' ConstBinding (',' ConstBinding)* / Expr
 Try = 'try' Block ('catch' P(CatchParam)? Block ('finally' Block)? / 'finally' Block)
 CatchParam = (Id / Pattern) Ann?
 Cases = (('case' Expr / 'default') ':' Stmt*)*
-FuncDecl = 'async'? 'function' '*'? Id TypeParams? P(Params) RetAnn? FuncBody
-AnonFunc = 'async'? 'function' '*'? Id? TypeParams? P(Params) RetAnn? FuncBody
-FuncExpr = ('async' NONL)? 'function' '*'? Id? TypeParams? P(Params) RetAnn? Block
+FuncDecl = 'function' ('*' Id FuncRest_G / Id FuncRest_F) / 'async' NONL 'function' ('*' Id FuncRest_AG / Id FuncRest_A)
+AnonFunc = 'function' ('*' Id? FuncRest_G / Id? FuncRest_F) / 'async' NONL 'function' ('*' Id? FuncRest_AG / Id? FuncRest_A)
+FuncExpr = 'function' ('*' Id? ExprRest_G / Id? ExprRest_F) / 'async' NONL 'function' ('*' Id? ExprRest_AG / Id? ExprRest_A)
+FuncRest = TypeParams? P(Params_F) RetAnn? FuncBody
+ExprRest = TypeParams? P(Params_F) RetAnn? Block
 ClassDecl = Decorator* Abstract? 'class' Id ClassTail
 AnonClass = Abstract? 'class' Id? ClassTail
 ClassTail = TypeParams? ('extends' Left TypeArgs?)? Implements? B(ClassBody)
 Decorator = '@' (P(Expr) / Id ('.' WORD)* P(Args)?)
 ClassBody = (';' / Member)*
-Member := 'static' Block / Decorator* MemberMod* ('get' PropKey P(Empty) RetAnn? FuncBody / 'set' PropKey P(Params) RetAnn? FuncBody / ('async' NONL)? '*'? PropKey Mark? TypeParams? P(Params) RetAnn? FuncBody / PropKey Mark? Ann? Init? Eos / IndexSig Eos) / Decorator* PropKey Mark? (TypeParams? P(Params) RetAnn? FuncBody / Ann? Init? Eos)
+Member := 'static' Block_S / Decorator* MemberMod* ('get' PropKey P(Empty) RetAnn? FuncBody_F / 'set' PropKey P(Params_F) RetAnn? FuncBody_F / 'async' NONL ('*' PropKey Mark? FuncRest_AG / PropKey Mark? FuncRest_A) / '*' PropKey Mark? FuncRest_G / PropKey Mark? FuncRest_F / PropKey Mark? Ann? Init_S? Eos / IndexSig Eos) / Decorator* PropKey Mark? (FuncRest_F / Ann? Init_S? Eos)
 Empty = &END
 PropKey = WORD / STR / NUM / PRIV / S(Assign)
 Params = (Param (',' Param)* ','? / &END)
 Param = Decorator* ParamMod* ('...' (Id / Pattern) Ann? / (Id / Pattern / This) Opt? Ann? Init?)
 Expr = Assign (',' Assign)*
-Assign := Arrow / 'yield' ('*' Assign / NONL !END !(')' / ']' / '}' / ',' / ';' / ':') Assign)? / Target AssignOp Assign / (S(ArrLit) / B(Props)) '=' Assign / Cond
+Assign := Arrow / Yield ('*' Assign / NONL !END !(')' / ']' / '}' / ',' / ';' / ':') Assign)? / Target AssignOp Assign / (S(ArrLit) / B(Props)) '=' Assign / Cond
 AssignOp = '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??=' / '>>=' / '>>>=' / '>' '>=' / '>' '>' '>='
-Arrow = 'async' NONL (Id / TypeParams? P(Params) RetAnn?) NONL '=>' ArrowBody / (Id / TypeParams? P(Params) RetAnn?) NONL '=>' ArrowBody
+Arrow = 'async' NONL (Id / TypeParams? P(Params_F) RetAnn?) NONL '=>' ArrowBody_A / (Id / TypeParams? P(Params) RetAnn?) NONL '=>' ArrowBody_F
 ArrowBody = Block / !BRACEDANY Assign
 Cond = Bin ('?' Assign ':' Assign / '?' Bin ':' Assign)?
-Bin = (PRIV 'in')? Unary (BinOp Unary / TypeOp)*
-BinOp = '+' / '-' / '**' / '*' / '/' / '%' / '<<' / '>' '>' '>' / '>' '>' / '>=' / '<=' / '<' / '>' / '===' / '!==' / '==' / '!=' / '&&' / '||' / '??' / '&' / '|' / '^' / 'instanceof' / 'in'
-Unary = ('!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' / Assertion)* Postfix
+# ?? does not mix with && and || without brackets, and no operator stands before the base of **.
+Bin = Bits (('??' Bits)+ !LogicOp / (LogicOp Bits)+ !'??')?
+LogicOp = '&&' / '||'
+Bits = (PRIV 'in')? Unary (BinOp Unary / TypeOp)*
+BinOp = '+' / '-' / '**' / '*' / '/' / '%' / '<<' / '>' '>' '>' / '>' '>' / '>=' / '<=' / '<' / '>' / '===' / '!==' / '==' / '!=' / '&' / '|' / '^' / 'instanceof' / 'in'
+Unary = ('!' / '~' / '+' / '-' / 'typeof' / 'void' / 'delete' / Await / Assertion)+ Update !'**' / Update
+Update = ('++' / '--') Unary / Postfix
 Postfix = Left (NONL ('++' / '--'))?
 Left = Primary Trailer*
 Target = Primary (Trailer &Trailer)* (MemberTrailer !Trailer) / Id NonNull?
-Trailer = MemberTrailer / '?.' (WORD / PRIV / S(Expr) / P(Args)) / P(Args) / TEMPLATE / CallTypes / NonNull
+Trailer = MemberTrailer / '?.' (WORD / PRIV / S(Expr) / P(Args)) / P(Args) / T(Substituted) / CallTypes / NonNull
 MemberTrailer = '.' (WORD / PRIV) / S(Expr)
 New = 'new' ('.' 'target' / (New / NewBase) MemberTrailer* TypeArgs? P(Args)?)
 NewBase = Id / 'this' / 'super' / P(Expr) / FuncExpr / AnonClass / S(ArrLit) / 'import' '.' WORD
-Primary = FuncExpr / Id / NUM / STR / REGEX / TEMPLATE / 'this' / 'super' / 'null' / 'true' / 'false' / P(Expr) / S(ArrLit) / B(Props) / Decorator* AnonClass / New / 'import' (P(Args) / '.' WORD)
+Primary = FuncExpr / Id / NUM / STR / REGEX / T(Substituted) / 'this' / 'super' / 'null' / 'true' / 'false' / P(Expr) / S(ArrLit) / B(Props) / Decorator* AnonClass / New / 'import' (P(Args) / '.' WORD) / X(Markup)
+Substituted = B(Expr)*
+Markup = (B(MarkupExpr) / X(Markup))*
+MarkupExpr = ('...' Assign / Expr)?
 Args = (Arg (',' Arg)* ','?)?
 Arg = '...'? Assign
 ArrLit = ','* (Arg (','+ Arg)* ','*)?
 Props = (Prop (',' Prop)* ','?)?
-Prop := '...' Assign / 'get' PropKey P(Empty) RetAnn? Block / 'set' PropKey P(Params) RetAnn? Block / ('async' NONL)? '*'? PropKey TypeParams? P(Params) RetAnn? Block / PropKey ':' Assign / Id ('=' Assign)?
+Prop := '...' Assign / 'get' PropKey P(Empty) RetAnn? Block_F / 'set' PropKey P(Params_F) RetAnn? Block_F / 'async' NONL ('*' PropKey ExprRest_AG / PropKey ExprRest_A) / '*' PropKey ExprRest_G / PropKey ExprRest_F / PropKey ':' Assign / Id ('=' Assign)?
 """
 
 _JS_ONLY = r"""
@@ -149,7 +160,7 @@ SQUAREANY = S(ANY*)
 TypeOp = NONL ('as' / 'satisfies') ('const' / Type)
 Assertion = '<' ('const' / Type) '>'
 NonNull = NONL '!' !'='
-CallTypes = TypeArgs &(PARENANY / TEMPLATE / ')' / ',' / ';' / '.' / END)
+CallTypes = TypeArgs &(PARENANY / T(ANY*) / ')' / ',' / ';' / '.' / END)
 PARENANY = P(ANY*)
 TypeArgs = '<' Type (',' Type)* ','? '>'
 TypeParams = '<' TypeParam (',' TypeParam)* ','? '>'
@@ -160,7 +171,8 @@ Union = ('|' / '&')? UnaryType (('|' / '&') UnaryType)*
 UnaryType = FnType / ('keyof' / 'unique' / 'readonly') UnaryType / 'infer' Id (NONL 'extends' UnaryType !'?')? / ArrType
 ArrType = PrimType (NONL S(MaybeType))*
 MaybeType = Type?
-PrimType = P(Type) / B(TypeBody) / S(Tuple) / STR / '-'? NUM / TEMPLATE / 'this' / 'void' / 'null' / 'true' / 'false' / 'typeof' ('import' P(Args) / Id / 'this') ('.' (WORD / PRIV))* TypeArgs? / 'import' P(Args) ('.' WORD)* TypeArgs? / TypeRef
+PrimType = P(Type) / B(TypeBody) / S(Tuple) / STR / '-'? NUM / T(TypeParts) / 'this' / 'void' / 'null' / 'true' / 'false' / 'typeof' ('import' P(Args) / Id / 'this') ('.' (WORD / PRIV))* TypeArgs? / 'import' P(Args) ('.' WORD)* TypeArgs? / TypeRef
+TypeParts = B(Type)*
 TypeRef = Id ('.' WORD)* (NONL TypeArgs)?
 Tuple = (TupleEl (',' TupleEl)* ','?)?
 TupleEl = '...'? (WORD '?'? ':')? Type '?'?
@@ -171,8 +183,37 @@ Mapped = Id 'in' Type ('as' Type)?
 MappedOpt = ('+' / '-')? '?'
 """
 
-JAVASCRIPT = _JS_SHARED + _JS_ONLY
-TYPESCRIPT = _JS_SHARED + _TS_ONLY
+# What await, yield and return are in the contexts of a module: its top, functions, async functions, generators, async
+# generators, and class fields with static blocks.
+_CONTEXTS = {
+    "": ("'await'", "FAIL", "FAIL"),
+    "_F": ("FAIL", "FAIL", "'return'"),
+    "_A": ("'await'", "FAIL", "'return'"),
+    "_G": ("FAIL", "'yield'", "'return'"),
+    "_AG": ("'await'", "'yield'", "'return'"),
+    "_S": ("FAIL", "FAIL", "FAIL"),
+}
+_PINNED = re.compile(r"\b(\w+?)(_(?:F|AG|A|G|S))\b")
+
+
+def _in_contexts(text: str) -> str:
+    """One copy a context of every rule that leads to await, yield or return; a name with a context's ending is pinned to it."""
+    rules = dict(re.fullmatch(r"(\w+)( :?= .*)", line).groups() for line in text.splitlines() if line and not line.startswith("#"))
+    bare = {n: re.sub(r"'[^']*'", "", e) for n, e in rules.items()}
+    led = {"Await", "Yield", "Return"}
+    while more := {n for n, e in bare.items() if n not in led and led & set(re.findall(r"\w+", e))}:
+        led |= more
+    name = re.compile(r"'[^']*'|\b(" + "|".join(sorted(led, key=len, reverse=True)) + r")\b")
+    out = [n + e for n, e in rules.items() if n not in led]
+    for ending, words in _CONTEXTS.items():
+        out += [n + ending + name.sub(lambda m: m.group() + ending if m.group(1) else m.group(), e) for n, e in rules.items() if n in led]  # noqa: B023
+        out += [f"{n}{ending} = {w}" for n, w in zip(("Await", "Yield", "Return"), words)]
+    return "\n".join(out)
+
+
+JAVASCRIPT = _in_contexts(_JS_SHARED + _JS_ONLY)
+# What TypeScript's own parser leaves to its checker is left alone here as well: await, yield and return outside of their functions.
+TYPESCRIPT = _PINNED.sub(r"\1", _JS_SHARED) + _TS_ONLY + "Await = 'await'\nYield = 'yield'\nReturn = 'return'\n"
 
 # ---------------------------------------------------------------- Java
 

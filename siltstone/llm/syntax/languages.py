@@ -8,13 +8,15 @@ accepts, so a file is valid only if all of it is consumed.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 from functools import lru_cache
 
 from . import grammars as g
-from .peg import BRACE, END, ERR, INDENT, PAREN, SQUARE, Grammar, Kinds
+from .peg import BRACE, END, ERR, INDENT, MARKUP, PAREN, SQUARE, TEMPLATE, Grammar, Kinds
 
 TABLE = 300_000  # lexemes kept
+MOST_FRAMES = 1_000_000  # of the grammar's recursion; some 200 MB
 
 
 def _ops(words: list[str]) -> str:
@@ -45,6 +47,10 @@ class Unbalanced(Exception):
         self.at, self.why = at, why
 
 
+class _Illegal(Exception):
+    """The exact reader meets what is no token; its argument is the place."""
+
+
 class Language:
     """Common parts: brackets become groups, and a grammar judges the tree."""
 
@@ -113,53 +119,73 @@ class Language:
     def prepare(self, text: str) -> str:
         return text
 
-    def valid(self, text: str) -> bool:
-        """Whether the whole text is valid."""
-        self.grammar.tidy()
-        kinds = self.kinds_of(self.prepare(text))
+    def exactly(self, text: str, markup: bool) -> tuple[list[int], list[int]] | None:
+        """Kinds and places of the tokens by a reader that knows no bounds, for what the one expression cannot tell; none where it can."""
+        return None
+
+    def _accepts(self, kinds: list[int]) -> bool | None:
+        """Whether the tokens are valid, none if that takes too deep a recursion."""
         if ERR in kinds:
             return False
+        limit = sys.getrecursionlimit()
         try:
             return self.grammar.accepts(self.start, self.tree(kinds))
         except Unbalanced:
             return False
+        except RecursionError:
+            if limit >= MOST_FRAMES:
+                return None
+        finally:
+            self.grammar.tidy()
+        # Chains like else-if or a ? b : c ? d recurse in the grammar; Python's own frames take memory only.
+        try:
+            sys.setrecursionlimit(MOST_FRAMES)
+            return self.grammar.accepts(self.start, self.tree(kinds))
         except RecursionError:
             self.grammar.clear()
-            return False
+            return None
+        finally:
+            sys.setrecursionlimit(limit)
 
-    def check(self, text: str) -> tuple[bool, int, str]:
+    def valid(self, text: str, markup: bool = False) -> bool | None:
+        """Whether the whole text is valid; none where it is nested too deeply to be judged. ``markup`` admits JSX elements."""
+        self.grammar.tidy()
+        prepared = self.prepare(text)
+        got = self._accepts(self.kinds_of(prepared))
+        if got is False and (exact := self.exactly(prepared, markup)):
+            return self._accepts(exact[0])
+        return got
+
+    def check(self, text: str, markup: bool = False) -> tuple[bool | None, int, str]:
         """Whether the whole text is valid; else the offset of the furthest failure and the cause."""
+        valid = self.valid(text, markup)
+        if valid:
+            return True, -1, ""
         prepared = self.prepare(text)
-        valid, at, cause = self._check(prepared)
+        exact = self.exactly(prepared, markup)
+        kinds, places = exact or (self.kinds_of(prepared), self.positions(prepared))
+        at, cause = (0, "nested too deeply to judge") if valid is None else self._failure(prepared, kinds, places)
         # What is prepared differs from the text at its beginning only.
-        return (True, -1, "") if valid else (False, min(len(text), max(0, at - len(prepared) + len(text))), cause)
+        return valid, min(len(text), max(0, at - len(prepared) + len(text))), cause
+
+    def _failure(self, text: str, kinds: list[int], places: list[int]) -> tuple[int, str]:
+        def place(at: int) -> int:
+            return places[at] if at < len(places) else len(text)
 
-    def _check(self, text: str) -> tuple[bool, int, str]:
-        grammar = self.grammar
-        grammar.tidy()
-        kinds = self.kinds_of(text)
         if ERR in kinds:
-            at = [k for k in kinds if k != self.NL].index(ERR)
-            return False, self._offset(text, at), "illegal or unterminated token"
+            return place([k for k in kinds if k != self.NL].index(ERR)), "illegal or unterminated token"
         try:
             tree = self.tree(kinds)
         except Unbalanced as e:
-            return False, self._offset(text, e.at), e.why
+            return place(e.at), e.why
         try:
-            if grammar.accepts(self.start, tree):
-                return True, -1, ""
-            at, wanted = grammar.furthest(self.start, tree)
+            at, wanted = self.grammar.furthest(self.start, tree)
         except RecursionError:
-            grammar.clear()
-            return False, 0, "nested too deeply"
-        offset = self._offset(text, at)
+            return 0, "unexpected token, nested too deeply to place"
+        offset = place(at)
         if offset >= len(text.rstrip()):
-            return False, offset, "truncated"
-        return False, offset, "unexpected token" + (f", wanted {' '.join(wanted[:4])}" if wanted and len(wanted) <= 4 else "")
-
-    def _offset(self, text: str, at: int) -> int:
-        where = self.positions(text)
-        return where[at] if at < len(where) else len(text)
+            return offset, "truncated"
+        return offset, "unexpected token" + (f", wanted {' '.join(wanted[:4])}" if wanted and len(wanted) <= 4 else "")
 
     def accepts_expression(self, rule: str, text: str) -> bool:
         kinds = self.kinds_of(text)
@@ -303,6 +329,39 @@ class Rust(Language):
             return self.kinds["LIT"] if self._NUMBER.fullmatch(x) else ERR
         return self.op_kinds.get(x, ERR)
 
+    _PARTS = re.compile(r"//[^\n]*|(/\*)|(?:br|cr|r)(#+)\"|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n']+|\\')'")
+    _COMMENT = re.compile(r"/\*|\*/")
+
+    def exactly(self, text: str, markup: bool) -> tuple[list[int], list[int]] | None:
+        """Comments nested and raw strings fenced to any depth are blanked out, place for place."""
+        if "/*" not in text and '#"' not in text:
+            return None
+        out, at = [], 0
+        while m := self._PARTS.search(text, at):
+            out.append(text[at : m.start()])
+            end = m.end()
+            if m.group(1):
+                depth = 0
+                for c in self._COMMENT.finditer(text, m.start()):
+                    depth += 1 if c.group() == "/*" else -1
+                    if not depth:
+                        break
+                if depth:
+                    return None
+                end = c.end()
+                out.append(re.sub(r"[^\n]", " ", text[m.start() : end]))
+            elif m.group(2):
+                end = text.find('"' + m.group(2), end)
+                if end < 0:
+                    return None
+                end += 1 + len(m.group(2))
+                out.append('""' + re.sub(r"[^\n]", " ", text[m.start() + 2 : end]))
+            else:
+                out.append(m.group())
+            at = end
+        plain = "".join([*out, text[at:]])
+        return self.kinds_of(plain), self.positions(plain)
+
     def prepare(self, text: str) -> str:
         return text[text.find("\n") if "\n" in text else len(text) :] if text.startswith("#!") and not text[2:].lstrip().startswith("[") else text
 
@@ -316,7 +375,15 @@ class Script(Language):
     def __init__(self, typed: bool):
         contextual = g.JS_CONTEXTUAL + (g.TS_CONTEXTUAL if typed else [])
         super().__init__(g.TYPESCRIPT if typed else g.JAVASCRIPT, g.JS_RESERVED, contextual, g.JS_OPS, {})
-        self.pairs: list[tuple[int, int]] = []
+        self.typed = typed
+        k = self.kinds
+        self.BRACES = k["{"], k["}"]
+        self.TEMPLATE = k["template"], k["template end"]
+        self.MARKUP = k["element"], k["element end"]
+        self.opens |= {self.TEMPLATE[0]: TEMPLATE, self.MARKUP[0]: MARKUP}
+        self.closes |= {self.TEMPLATE[1]: TEMPLATE, self.MARKUP[1]: MARKUP}
+        self.pairs: list[tuple[int, ...]] = []  # what lexemes of several tokens stand for
+        self.step = self.make_step()
 
     _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
     _BEFORE = r"=>|&&|\|\||\?\?|===?|!==?|[-+*%<>&|^~!=(,:\[?{};]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield)"
@@ -349,19 +416,25 @@ class Script(Language):
         if c in "\"'":
             return self.kinds["STR"] if len(x) > 1 and x[-1] == c and not re.search(r"\\(?:x(?![\da-fA-F]{2})|u(?![\da-fA-F]{4}|\{))", x) else ERR
         if c == "`":
-            return self.kinds["TEMPLATE"] if len(x) > 1 and all(self.accepts_expression("Expr", e) for e in self.substitutions(x)) else ERR
+            if len(x) == 1:
+                return ERR
+            inner = [k for e in self.substitutions(x) for k in (self.BRACES[0], *self.kinds_of(e), self.BRACES[1])]
+            return self._several((self.TEMPLATE[0], *inner, self.TEMPLATE[1]))
         if c.isdigit() or (c == "." and len(x) > 1 and x[1].isdigit()):
             return self.kinds["NUM"] if self._NUMBER.fullmatch(x) else ERR
         if x[-1] != "\\" and "/" in x and (m := self._PAIR.fullmatch(x)):
             flags = x[x.rindex("/") + 1 :]
             if set(flags) - set("dgimsuvy") or len(set(flags)) != len(flags) or not _regex_ok(x[x.index("/") :]):
                 return ERR
-            self.pairs.append((self.lexemes[m.group(1)], self.kinds["REGEX"]))
-            return -len(self.pairs)
+            return self._several((self.lexemes[m.group(1)], self.kinds["REGEX"]))
         if c.isalpha() or c in "_$\\" or c > "\x7f":
             return self.word(x) if c == "\\" or x.replace("$", "_").replace("\\", "_").replace("{", "_").replace("}", "_").isidentifier() else ERR
         return ERR
 
+    def _several(self, kinds: tuple[int, ...]) -> int:
+        self.pairs.append(kinds)
+        return -len(self.pairs)
+
     @staticmethod
     def substitutions(template: str) -> list[str]:
         """The expressions in a template's ``${}``."""
@@ -397,11 +470,177 @@ class Script(Language):
         for m in self.pattern.finditer(text):
             k = self.lexemes[m.group(1)]
             if k < 0:
-                out += [m.start(1), m.start(1) + m.group(1).index("/")]
+                several = self.pairs[-k - 1]
+                at = m.group(1).index("/") if several[-1] == self.kinds["REGEX"] else 0
+                out += [m.start(1), *[m.start(1) + at] * (sum(x != self.NL for x in several) - 1)]
             elif k != self.NL:
                 out.append(m.start(1))
         return out
 
+    def valid(self, text: str, markup: bool = False) -> bool | None:
+        if len(self.pairs) > TABLE:
+            self.pairs.clear()
+            self.lexemes.clear()
+        return super().valid(text, markup)
+
+    # The exact reader: a stack in place of bounded expressions, for templates and elements nested to any depth and for
+    # regular expressions after brackets, which the one expression takes for divisions.
+
+    _SPACE = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*")
+    _TAG = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$-]*(?:\s*[.:]\s*[\w$-]+)*")
+    _CHUNK = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
+    _LITERAL = re.compile(_REGEX)
+    _VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
+    _CHILDREN = re.compile(r"[^<{>}]*")
+    _GENERIC = re.compile(r"<\s*(?:const\s+)?[\w$]+\s*(?:,|extends\b)")
+    _BEFORE_VALUES = set("return typeof case in of delete void throw new else do await yield instanceof default extends".split())
+    _HEADS = {"if", "while", "for", "with"}
+
+    def make_step(self) -> re.Pattern:
+        whole = self.pattern.pattern
+        # The same tokens without templates and regular expressions.
+        start, rest = whole.index(f"((?:{self._BEFORE})"), whole.index("|\\n\\s*|")
+        name = whole[whole.index(self._REGEX) + len(self._REGEX) + 1 : rest]
+        parts = whole[rest:].split("|`", 1)
+        numbers = parts[1][parts[1].index("|(?:0[xX]") :]
+        return re.compile(f"{whole[:start]}({name}{parts[0]}{numbers}")
+
+    def exactly(self, text: str, markup: bool) -> tuple[list[int], list[int]] | None:
+        kinds: list[int] = []
+        places: list[int] = []
+        try:
+            self._read(text, 0, False, markup, kinds, places)
+        except _Illegal as e:
+            kinds.append(ERR)
+            places.append(e.args[0])
+        return kinds, places
+
+    def _put(self, kinds: list[int], places: list[int], kind: int, at: int) -> None:
+        kinds.append(kind)
+        places.append(at)
+
+    def _read(self, text: str, pos: int, inner: bool, markup: bool, kinds: list[int], places: list[int]) -> int:
+        """Tokens up to the end, or with ``inner`` up to the bracket that closes an embedded expression; returns where that is."""
+        NL = self.NL
+        before: str | None = None  # the token before, or what stands for it: ")" and "}" after which a value may begin are "+"
+        dotted = False
+        round_: list[bool] = []
+        curly: list[bool] = []
+        while True:
+            m = self.step.match(text, pos)
+            x, at, pos = m.group(1), m.start(1), m.end()
+            if not x:
+                if inner:
+                    raise _Illegal(at)
+                kinds.append(NL)
+                return pos
+            value = before is None or before in self._BEFORE_VALUES and not dotted or (before in self.op_kinds and before not in (")", "]", "}", "++", "--"))
+            if x[0] == "\n" or x.startswith("/*") and len(x) > 3:
+                kinds.append(NL)
+                continue
+            if x == "`":
+                self._put(kinds, places, self.TEMPLATE[0], at)
+                while True:
+                    pos = self._CHUNK.match(text, pos).end()
+                    if text.startswith("`", pos):
+                        break
+                    if not text.startswith("${", pos):
+                        raise _Illegal(at)
+                    self._put(kinds, places, self.BRACES[0], pos)
+                    pos = self._read(text, pos + 2, True, markup, kinds, places)
+                    self._put(kinds, places, self.BRACES[1], pos)
+                    pos += 1
+                self._put(kinds, places, self.TEMPLATE[1], pos)
+                pos += 1
+                before, dotted = ")", False
+                continue
+            if x[0] == "/" and value and (r := self._LITERAL.match(text, at)):
+                flags = r.group()[r.group().rindex("/") + 1 :]
+                if set(flags) - set("dgimsuvy") or len(set(flags)) != len(flags) or not _regex_ok(r.group()):
+                    raise _Illegal(at)
+                self._put(kinds, places, self.kinds["REGEX"], at)
+                pos = r.end()
+                before, dotted = ")", False
+                continue
+            if x == "<" and markup and value and not (self.typed and self._GENERIC.match(text, at)):
+                pos = self._element(text, at, markup, kinds, places)
+                before, dotted = ")", False
+                continue
+            if x == "}" and inner and not curly:
+                return at
+            kind = self.lexemes[x]
+            if kind < 0:
+                raise _Illegal(at)
+            self._put(kinds, places, kind, at)
+            if x == "(":
+                round_.append(before in self._HEADS and not dotted)
+            elif x == "{":  # a block, or a literal where a value may stand
+                curly.append(not value or before in (None, ";", "{", "}", "=>", "else", "do") or before == "+")
+            dotted = before in (".", "?.")
+            before = x
+            if x == ")" and round_ and round_.pop() or x == "}" and curly and curly.pop():
+                before = "+"
+
+    def _element(self, text: str, pos: int, markup: bool, kinds: list[int], places: list[int]) -> int:
+        """A JSX element from its ``<``: its expressions and inner elements as one group; returns its end."""
+        put, space = self._put, self._SPACE
+        begin = pos
+        put(kinds, places, self.MARKUP[0], begin)
+
+        def embedded(at: int) -> int:
+            put(kinds, places, self.BRACES[0], at)
+            end = self._read(text, at + 1, True, markup, kinds, places)
+            put(kinds, places, self.BRACES[1], end)
+            return end + 1
+
+        pos = space.match(text, pos + 1).end()
+        m = self._TAG.match(text, pos)
+        name = "".join(m.group().split()) if m else ""
+        pos = m.end() if m else pos
+        while True:
+            pos = space.match(text, pos).end()
+            if text.startswith("/>", pos) and name:
+                put(kinds, places, self.MARKUP[1], pos)
+                return pos + 2
+            if text.startswith(">", pos):
+                pos += 1
+                break
+            if not name:
+                raise _Illegal(begin)
+            if text.startswith("{", pos):
+                pos = embedded(pos)
+                continue
+            m = self._TAG.match(text, pos)
+            if not m:
+                raise _Illegal(pos)
+            pos = space.match(text, m.end()).end()
+            if text.startswith("=", pos):
+                pos = space.match(text, pos + 1).end()
+                if text.startswith("{", pos):
+                    pos = embedded(pos)
+                elif text.startswith("<", pos):
+                    pos = self._element(text, pos, markup, kinds, places)
+                elif m := self._VALUE.match(text, pos):
+                    pos = m.end()
+                else:
+                    raise _Illegal(pos)
+        while True:
+            pos = self._CHILDREN.match(text, pos).end()
+            if text.startswith("{", pos):
+                pos = embedded(pos)
+            elif text.startswith("</", pos):
+                at = space.match(text, pos + 2).end()
+                m = self._TAG.match(text, at)
+                at = space.match(text, m.end() if m else at).end()
+                if ("".join(m.group().split()) if m else "") != name or not text.startswith(">", at):
+                    raise _Illegal(pos)
+                put(kinds, places, self.MARKUP[1], pos)
+                return at + 1
+            elif text.startswith("<", pos):
+                pos = self._element(text, pos, markup, kinds, places)
+            else:
+                raise _Illegal(min(pos, len(text)))
+
     def prepare(self, text: str) -> str:
         return "//" + text[2:] if text.startswith("#!") else text
 

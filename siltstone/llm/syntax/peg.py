@@ -14,7 +14,7 @@ full.
 Grammar notation, one rule per line, ``Name = expression`` or ``Name := expression`` with the
 trie memo: ``'x'`` a keyword or operator, ``UPPER`` a token class, ``P(X) S(X) B(X) I(X)`` a round,
 square, curly or indented group whose inside is wholly ``X``, juxtaposition, ``/``, ``* + ?``,
-``&`` and ``!``; ``NLB`` and ``NONL`` test for a line break before the next token, ``END`` for the end of the
+``&`` and ``!``; ``T(X)`` and ``X(X)`` the substitutions of a template and the parts of a markup element; ``NLB`` and ``NONL`` test for a line break before the next token, ``END`` for the end of the
 inside, ``ANY`` takes a token, ``FAIL`` fails.
 """
 
@@ -25,23 +25,31 @@ from collections.abc import Callable
 
 END = 0
 ERR = 1
-PAREN, SQUARE, BRACE, INDENT = "P", "S", "B", "I"
-_GROUPS = {"P": PAREN, "S": SQUARE, "B": BRACE, "I": INDENT}
+PAREN, SQUARE, BRACE, INDENT, TEMPLATE, MARKUP = "P", "S", "B", "I", "T", "X"
 FIRST_GROUP = 1 << 12
 LIMIT = 400_000  # groups or trie nodes kept
+LONGEST = 400  # tokens looked at by a result that goes into a trie; longer ones are kept by place for the file at hand
+DEEP = 100  # groups within groups judged in one descent
 
-_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)+')|([PSBI]\()|([A-Za-z_][A-Za-z_0-9]*)|([()/*+?&!]))")
+_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)+')|([PSBITX]\()|([A-Za-z_][A-Za-z_0-9]*)|([()/*+?&!]))")
 
 Rule = Callable[[list, int], int]
 
 
+class Deeper(Exception):
+    """A group lies too deep for this descent; it is to be judged on its own first."""
+
+    def __init__(self, rule: str, group: int):
+        self.rule, self.group = rule, group
+
+
 class State:
     """What rules look at while they run: how far tokens have been looked at, and where the furthest token failed."""
 
-    __slots__ = ("far", "failed", "offset", "wanted")
+    __slots__ = ("depth", "far", "failed", "offset", "quiet", "wanted")
 
     def __init__(self) -> None:
-        self.far = 0
+        self.far = self.depth = self.quiet = 0
         self.failed = -1
         self.offset: list[int] = []
         self.wanted: set[str] = set()
@@ -82,13 +90,14 @@ class Grammar:
         self.groups: dict[tuple, int] = {}
         self.inside: list[tuple[str, list[int]]] = []
         self.known: dict[tuple[str, int], bool] = {}
-        self.spans: dict[int, int] = {}
+        self.spans: list[int] = []
         for trie in self.tries.values():
             trie.clear()
         self.nodes = 0
 
     def tidy(self) -> None:
         """Between files: start the tables anew if they are full."""
+        self.placed.clear()
         if len(self.inside) > LIMIT or self.nodes > 4 * LIMIT:
             self.clear()
 
@@ -102,18 +111,34 @@ class Grammar:
         return got
 
     def accepts(self, rule: str, tokens: list[int]) -> bool:
-        """Whether the tokens as a whole match the rule; ``tokens`` has no end mark yet."""
-        self.state.far = 0
-        t = [*tokens, END]
-        return self._plain[rule](t, 0) == len(tokens)
+        """Whether the tokens as a whole match the rule; ``tokens`` has no end mark yet.
+
+        Groups nested deeper than ``DEEP`` wait on a stack until those inside them are known, so depth costs no recursion.
+        """
+        s = self.state
+        waiting: list[tuple[str, int]] = []
+        while True:
+            s.far = s.depth = 0
+            self.placed.clear()
+            try:
+                if not waiting:
+                    return self._plain[rule]([*tokens, END], 0) == len(tokens)
+                name, k = waiting[-1]
+                inside = self.inside[k - FIRST_GROUP][1]
+                self.known[name, k] = self._plain[name]([*inside, END], 0) == len(inside)
+                waiting.pop()
+            except Deeper as e:
+                waiting.append((e.rule, e.group))
 
     def furthest(self, rule: str, tokens: list[int]) -> tuple[int, list[str]]:
         """The plain token at which the furthest failure lies, and what was wanted there."""
         s = self.state
-        s.failed, s.wanted = -1, set()
+        s.failed, s.wanted, s.quiet = -1, set(), 0
+        self.met.clear()
         s.offset = self._offsets(tokens, 0)
         t = [*tokens, END]
         end = self._traced[rule](t, 0)
+        self.met.clear()
         if 0 <= end < len(tokens) and s.offset[end] > s.failed:
             s.failed, s.wanted = s.offset[end], {"end"}
         return max(s.failed, 0), sorted(s.wanted)
@@ -127,11 +152,11 @@ class Grammar:
         return out
 
     def _span(self, group: int) -> int:
-        """How many plain tokens a group stands for, its two brackets included."""
-        got = self.spans.get(group)
-        if got is None:
-            got = self.spans[group] = 2 + sum(1 if x >> 1 < FIRST_GROUP else self._span(x >> 1) for x in self.inside[group - FIRST_GROUP][1])
-        return got
+        """How many plain tokens a group stands for, its two brackets included. Inner groups come before outer ones."""
+        spans = self.spans
+        while len(spans) <= group - FIRST_GROUP:
+            spans.append(2 + sum([1 if x >> 1 < FIRST_GROUP else spans[(x >> 1) - FIRST_GROUP] for x in self.inside[len(spans)][1]]))
+        return spans[group - FIRST_GROUP]
 
     # Reading the notation.
 
@@ -206,16 +231,33 @@ class Grammar:
         table: dict[str, Rule] = {}
         if not traced:
             self.tries: dict[str, dict] = {}
+            self.placed: dict[tuple[int, str, int], tuple[int, int, list]] = {}
+        self.met: dict[tuple[str, int, bool], int] = {}
         for name, (memo, expr) in self.rules.items():
             f = self._compile(expr, table, traced)
             if memo and not traced:
                 f = self._with_trie(name, f)
+            if traced:
+                f = self._with_table(name, f)
             table[name] = f
         return table
 
+    def _with_table(self, name: str, f: Rule) -> Rule:
+        """The packrat table of the search for the furthest failure: by rule and place, and whether failures count there."""
+        s, met = self.state, self.met
+
+        def run(t: list, i: int) -> int:
+            key = (name, s.offset[i], s.quiet > 0)
+            end = met.get(key)
+            if end is None:
+                end = met[key] = f(t, i)
+            return end
+
+        return run
+
     def _with_trie(self, name: str, f: Rule) -> Rule:
         trie = self.tries[name] = {}
-        s = self.state
+        s, placed = self.state, self.placed
 
         def run(t: list, i: int) -> int:
             node, j, last = trie, i, len(t) - 1
@@ -230,9 +272,19 @@ class Grammar:
                     return i + node if node >= 0 else -1
                 if j > last:
                     break
+            key = (id(t), name, i)
+            kept = placed.get(key)
+            if kept is not None:
+                end, far, _ = kept
+                s.far = max(s.far, far)
+                return end
             outer, s.far = s.far, i + 1
             end = f(t, i)
             far = min(s.far, last + 1)
+            if far - i > LONGEST:
+                placed[key] = end, far, t  # holds the tokens, so that their identity stays theirs
+                s.far = max(outer, far)
+                return end
             node = trie
             for x in t[i : far - 1]:
                 node = node.setdefault(x, {})
@@ -344,7 +396,9 @@ class Grammar:
                 if traced and not want:
                     kept = s.failed, s.wanted
                     s.wanted = set(s.wanted)
+                    s.quiet += 1
                     hit = p(t, i) >= 0
+                    s.quiet -= 1
                     s.failed, s.wanted = kept
                 else:
                     hit = p(t, i) >= 0
@@ -400,9 +454,13 @@ class Grammar:
                 return i + 1 if end == len(inside) else -1
             hit = self.known.get((rule, k))
             if hit is None:
+                if s.depth >= DEEP:
+                    raise Deeper(rule, k)
+                s.depth += 1
                 outer_far, s.far = s.far, 0
                 hit = self.known[rule, k] = table[rule]([*inside, END], 0) == len(inside)
                 s.far = outer_far
+                s.depth -= 1
             return i + 1 if hit else -1
 
         return group

@@ -29,18 +29,23 @@ def known_language(language_col: str = "language", path_col: str = "path") -> Co
     return F.coalesce(F.nullif(F.lower(F.btrim(F.col(language_col))), F.lit("")), by_extension)
 
 
-def judge(content: bytes | None, name: str, detail: bool = True) -> tuple[bool, int, int, str]:
-    """Whether a file's content is valid in a language, else line and offset of the furthest failure and the cause."""
+def judge(content: bytes | None, name: str, detail: bool = True, markup: bool = False) -> tuple[bool | None, int, int, str]:
+    """Whether a file's content is valid in a language, else line and offset of the furthest failure and the cause.
+
+    ``markup`` admits JSX. None stands for a file nested too deeply to be judged.
+    """
     try:
         text = (content or b"").decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
     except UnicodeDecodeError as e:
         return False, (content or b"")[: e.start].count(b"\n") + 1, e.start, "not UTF-8"
     parser = language(name)
     if not detail:
-        return parser.valid(text), 0, 0, ""
-    valid, at, cause = parser.check(text)
+        return parser.valid(text, markup), 0, 0, ""
+    valid, at, cause = parser.check(text, markup)
     if valid:
         return True, 0, 0, ""
+    if valid is None:
+        return None, 0, 0, cause
     if _CONFLICT.search(text):
         cause = "merge conflict"
     else:
@@ -51,24 +56,30 @@ def judge(content: bytes | None, name: str, detail: bool = True) -> tuple[bool,
     return False, text.count("\n", 0, at) + 1, at, cause
 
 
-def check_files(files: DataFrame, detail: bool = True) -> DataFrame:
+#: Extensions whose files may hold JSX elements.
+MARKUP = (".tsx", ".jsx")
+
+
+def check_files(files: DataFrame, detail: bool = True, markup: tuple[str, ...] = MARKUP) -> DataFrame:
     """Every distinct file of a known language with its judgement.
 
     Returns ``file_id, repo, path, language, valid, line, offset, cause``; ``line`` and ``offset`` (in
     characters, line ends counted as one) are those of the furthest failure. ``files`` needs ``file_id,
-    repo, path, language, content``; other columns are ignored. Contents are not shuffled.
+    repo, path, language, content``; other columns are ignored. Contents are not shuffled. JSX elements are
+    part of the language in files whose path ends in one of ``markup``.
 
     Defined cases: a null language is told by the path's extension; files of other languages
     (``binary`` and ``unknown`` among them) are left out; null and empty content is valid; content
-    that is not UTF-8 is not; rows of one file are judged once (invalid if any row is), rows without
+    that is not UTF-8 is not; ``valid`` is null where a chain of some ten thousand else-ifs or the like is too
+    deep to be judged (brackets may nest to any depth); rows of one file are judged once (invalid if any row is), rows without
     an id each for themselves; empty tables give an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
         for b in batches:
-            names, contents = b.column(3).to_pylist(), b.column(4).to_pylist()
-            got = [judge(c, n, detail) for n, c in zip(names, contents)]
+            paths, names, contents = (b.column(i).to_pylist() for i in (2, 3, 4))
+            got = [judge(c, n, detail, (p or "").lower().endswith(markup)) for p, n, c in zip(paths, names, contents)]
             made = [pa.array([x[i] for x in got], t) for i, t in enumerate((pa.bool_(), pa.int32(), pa.int32(), pa.string()))]
             yield pa.record_batch([*b.columns[:4], *made], ["file_id", "repo", "path", "language", "valid", "line", "offset", "cause"])
 

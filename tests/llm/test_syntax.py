@@ -2,6 +2,7 @@
 
 import ast
 import sys
+import time
 import warnings
 
 import pytest
@@ -143,9 +144,74 @@ def test_reports(language, text, line, cause):
 
 
 def test_deep_nesting():
-    n = 1000
+    js = languages.language("javascript")
     assert languages.language("python").valid("x = " + "(" * 150 + "1" + ")" * 150)
-    assert languages.language("javascript").valid("x = " + "[" * n + "]" * n)
+    for n in (1000, 30_000):
+        assert js.valid("x = " + "[" * n + "]" * n) and js.valid("x = " + "[" * n + "a b" + "]" * n) is False
+    assert js.valid("if (a) {} " + "else if (a) {} " * 8000) and js.valid("x = " + "a ? b : " * 8000 + "c")
+
+
+def test_the_report_on_nested_brackets_is_quick():
+    js = languages.language("javascript")
+    began = time.perf_counter()
+    assert js.check("x = " + "[" * 200 + "a b" + "]" * 200) == (False, 206, "unexpected token")
+    assert time.perf_counter() - began < 0.5
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("`${xs.map(x => { if (x) { return `a`; } })}`", True), ("`${a(b => { if (c) { while (d) { e({f: {g: `${1}`}}) } } })}`", True), ("`${a b}${`${c}`}`", False), ("`${`", False),
+        ("if (x) /['\"]/.test(s)", True), ("a = (b) / c / d", True), ("while (x) /[/`]/g.exec(y); `z`", True), ("x = {a: 1} / 2; f(`${{}}`)", True),
+        ("function f() { await x }", False), ("async function f() { await x; for await (const a of b) {} return `${await z}` }", True), ("function f() { return `${await z}` }", False), ("await x", True), ("() => await x", False), ("async () => await x", True),
+        ("async x => { return y => { await z } }", False), ("class A { x = await 1 }", False), ("class A { static { return } }", False), ("return 1", False), ("a => { return 1 }", True), ("if (a) { return }", False),
+        ("function* g() { yield 1; yield* a; yield }", True), ("function g() { yield 1 }", False), ("x = {async *f() { yield await 1 }, *g() { yield }, async h() { await 2 }, get i() { return 1 }}", True), ("class A { async *f() { yield await 1 } async() {} get() {} }", True),
+        ("a ?? b || c", False), ("(a ?? b) || c && d", True), ("a && b ?? c", False), ("-a ** b", False), ("(-a) ** b ** -c", True), ("++a ** b", True), ("typeof a ** b", False),
+    ],
+)
+def test_contexts_of_modules(text, want):
+    assert languages.language("javascript").valid(text) is want
+
+
+MARKUP = [
+    ('export const A = () => <div className="x">{y}</div>;', True), ("const a = <><A.B x={1} {...p} y='\"' z/>it's text {/* c */} {b && <i>q</i>}</>", True), ("const a = <a></b>", False), ("x = <div>{a b}</div>", False), ("x = <div>", False), ("a < b; c > d", True),
+    ("import React from 'react'\nexport default class App extends React.Component {\n  render() {\n    return (\n      <ul onClick={() => this.go(1)}>\n        {xs.map(x => <li key={x}>{`${x}`} / 2</li>)}\n      </ul>\n    )\n  }\n}\n", True),
+    ("<a:b c-d='1'>{}</a:b>", True), ("x = <a b=c/>", False), ("x = <a>}</a>", False),
+]
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+@pytest.mark.parametrize("text, want", MARKUP)
+def test_markup(language, text, want):
+    p = languages.language(language)
+    assert p.valid(text, True) is want and p.check(text, True)[0] is want
+    if "</" in text or "/>" in text:
+        assert not p.valid(text)
+
+
+def test_markup_beside_types():
+    p = languages.language("typescript")
+    for text in (
+        "export const A = (p: P): JSX.Element => <div onClick={(e: E) => f(e as any)}>{y!}</div>;", "const f = <T,>(x: T) => x", "const f = <T extends U>(x: T) => <p>{x}</p>",
+        "interface Props { a: string }\nexport class App extends React.Component<Props> {\n  render() {\n    return <A<string> />\n  }\n}\n".replace("<A<string> />", "<A b={c<D>(1)} />"),
+    ):
+        assert p.valid(text, True), (text, p.check(text, True))
+    assert p.valid("let z = <any>w") and p.valid("function f() { await x }")
+
+
+def test_rust_nests_to_any_depth():
+    p = languages.language("rust")
+    assert p.valid("fn f() { /* a /* b /* c /* d /* e /* f */ */ */ */ */ */ let x = r#####\"a\"# b\"#####; }")
+    assert not p.valid("fn f() { /* a /* b /* c /* d /* e /* f */ */ */ */ */ let x = 1; }")
+    assert p.check("/* /* /* /* /* */ */ */ */ */\nfn f() { a b }")[1] == 41
+
+
+def test_markup_by_extension(spark):
+    text = b"export const A = () => <b>{x}</b>\n"
+    rows = [(1, "r", "a.tsx", "typescript", text), (2, "r", "b.JSX", None, text), (3, "r", "c.js", "javascript", text), (4, "r", "d.ts", "typescript", text)]
+    df = spark.createDataFrame(rows, "file_id bigint, repo string, path string, language string, content binary")
+    assert {r.file_id: r.valid for r in check_files(df).collect()} == {1: True, 2: True, 3: False, 4: False}
+    assert {r.file_id: r.valid for r in check_files(df, markup=(".tsx",)).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
 def test_table(spark):
