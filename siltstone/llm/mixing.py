@@ -5,11 +5,12 @@ from the weights; the counts of every output shard are multinomial draws of each
 over the shards, so shards are random samples while the totals stay exact. The slots of a source
 are mapped to its blocks by a pseudorandom permutation of the block numbers, a new one for each
 repetition, and blocks join slots by (source, number). No block is used more often than its source
-may be repeated, so no text is.
+may be repeated, so no text is. A block names the texts it is made of.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,24 +87,46 @@ def clean_source(c: str) -> F.Column:
     return F.nullif(F.lower(F.btrim(F.col(c))), F.lit(""))
 
 
+LANES = 1 << 14
+SEEN = 200_000  # rows a task remembers, to drop repetitions before anything moves
+SHARD_BLOCKS = 4096  # blocks a shard holds, about
+GROUP = 1024  # shards whose counts are drawn together
+
+
 class Mixture:
     """A mixture of ``documents`` (``doc_id, source, text``) by ``targets`` (``source, weight, max_repeats``).
 
+    The result depends on the data, the targets, ``block``, ``lanes``, ``shard_blocks`` and ``seed`` only, never on
+    the cluster's settings. With ``separator`` that id follows every text and counts as its last token.
+
     Defined cases: sources are compared without outer blanks and letter case; texts of no source or
-    of one that has no target stay out; null and empty texts have no tokens; repeated rows of one
-    doc_id count once, rows without one each; targets without a source, weight or cap, or with a
-    weight of 0, get no share (of repeated targets the greatest weight counts); the last block of a
-    source is as short as its tokens leave it. Empty tables give an empty mixture.
+    of one that has no target stay out; null and empty texts have no tokens and no separator; repeated rows of one
+    doc_id count once (if they differ, the first by source, number of tokens and tokens), rows without one each;
+    targets without a source, weight or cap, or with a weight of 0, get no share (of repeated targets the greatest
+    weight counts); the last block of a source is as short as its tokens leave it. Empty tables give an empty mixture.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, block: int = 256, shards: int = 64, seed: int = 1, total: int | None = None, ranks: str = DEFAULT_RANKS):
+    def __init__(
+        self, documents: DataFrame, targets: DataFrame, block: int = 256, seed: int = 1, total: int | None = None, separator: int | None = None, lanes: int = LANES,
+        shard_blocks: int = SHARD_BLOCKS, ranks: str = DEFAULT_RANKS,
+    ):
         self.spark = documents.sparkSession
-        self.block, self.shards, self.seed = block, shards, seed
-        lanes = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        self.block, self.seed = block, seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = tokenizer(ranks)
+            seen: set[tuple] = set()
             for b in batches:
+                fresh = []
+                for i, (doc, source, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                    key = (doc, source, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    if doc is not None and key in seen:
+                        continue
+                    fresh.append(i)
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                b = b.take(pa.array(fresh, pa.int64()))
                 yield pa.record_batch([b.column(0), b.column(1), encode_batch(t, b.column(2))], ["doc_id", "source", "ids"])
 
         # The targets: one row a source, as many as a configuration names.
@@ -116,53 +139,79 @@ class Mixture:
         named = F.col("source").isin(list(wanted)) if wanted else F.lit(False)
         rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_source("source").alias("source"), F.col("text").cast("string").alias("text"))
         ids = rows.filter(named & (F.length("text") > 0)).mapInArrow(run, "doc_id bigint, source string, ids array<int>")
-        # Texts are packed lane by lane: a lane is a hash class of ids, so a large source fills all lanes.
-        lane = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(lanes)).cast("int")
-        order = Window.partitionBy("source", "lane").orderBy("doc_id", F.size("ids"), F.xxhash64("ids"))
-        once = ids.withColumn("lane", lane).withColumn("again", F.coalesce(F.lag("doc_id").over(order) == F.col("doc_id"), F.lit(False)))
-        n = F.when(F.col("again"), 0).otherwise(F.size("ids")).cast("bigint")
-        at = once.withColumn("n", n).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        self.packed = materialize(at.filter(~F.col("again")).drop("again"), "packed")
+        if separator is not None:
+            ids = ids.withColumn("ids", F.concat("ids", F.array(F.lit(separator))))
+        # Texts are packed lane by lane: a lane is a hash class of ids, so a large source fills all lanes. Rows without an id go by their tokens.
+        lane = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.xxhash64("ids")), F.lit(lanes)).cast("int")
+        laid = ids.withColumn("lane", lane).withColumn("n", F.size("ids").cast("bigint"))
+        same = Window.partitionBy("lane").orderBy("doc_id", "source", "n", F.xxhash64("ids"))
+        again = F.coalesce(F.lag("doc_id").over(same) == F.col("doc_id"), F.lit(False))
+        order = Window.partitionBy("lane", "source").orderBy("doc_id", "n", F.xxhash64("ids"))
+        once = laid.withColumn("again", again).filter(~F.col("again")).drop("again")
+        self.packed = materialize(once.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))), "packed")
         per_lane = self.packed.groupBy("source", "lane").agg(F.sum("n").alias("tokens"))
         before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        self.lane_starts = per_lane.select(F.col("source").alias("_s"), F.col("lane").alias("_l"), before.alias("start"))
+        self.lane_starts = per_lane.select(F.col("source").alias("_s"), F.col("lane").alias("_l"), before.alias("start"))  # LANES rows a source
         tokens = {r[0]: r[1] for r in per_lane.groupBy("source").agg(F.sum("tokens")).collect()}  # one row a target source
         self.plan = plan_quotas(wanted, tokens, block, total)
+        self.shards = max(1, -(-sum(p.quota for p in self.plan) // shard_blocks))
 
     def pieces(self, with_ids: bool) -> DataFrame:
-        """The stretches of texts in blocks: ``source, block, off, n`` and the ids on demand."""
+        """The stretches of texts in blocks: ``source, block, off, n, doc_id, start`` and the ids on demand.
+
+        ``start`` is where in its text a stretch begins; ``off`` its place among the tokens of the source.
+        """
         starts = self.lane_starts
         d = self.packed.join(starts, (F.col("source") == F.col("_s")) & (F.col("lane") == F.col("_l")))
         first = (F.col("start") + F.col("upto") - F.col("n")).alias("first")
         b = F.lit(self.block).cast("bigint")
-        d = d.select("source", first, "n", *(["ids"] if with_ids else [])).filter("n > 0")
+        d = d.select("source", "doc_id", first, "n", *(["ids"] if with_ids else [])).filter("n > 0")
         last = F.col("first") + F.col("n") - 1
         d = d.select("*", F.explode(F.sequence(F.floor(F.col("first") / b), F.floor(last / b))).alias("block"))
         low = F.greatest(F.col("first"), F.col("block") * b)
         size = (F.least(last + 1, (F.col("block") + 1) * b) - low).cast("int")
-        cut = F.slice("ids", (low - F.col("first") + 1).cast("int"), size).alias("ids")
-        return d.select("source", "block", low.alias("off"), size.alias("n"), *([cut] if with_ids else []))
+        at = low - F.col("first")
+        cut = F.slice("ids", (at + 1).cast("int"), size).alias("ids")
+        return d.select("source", "block", low.alias("off"), size.alias("n"), "doc_id", at.alias("start"), *([cut] if with_ids else []))
 
     def blocks(self) -> DataFrame:
-        """The packed blocks: ``source, block, ids``."""
-        parts = self.pieces(True).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("off", "ids"))).alias("p"))
-        return parts.select("source", "block", F.flatten(F.col("p.ids")).alias("ids"))
+        """The packed blocks: ``source, block, ids, docs``; ``docs`` has ``doc_id, start, n`` of the stretches, in order."""
+        parts = self.pieces(True).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "doc_id", "start", "ids"))).alias("p"))
+        docs = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["n"].alias("n")))
+        return parts.select("source", "block", F.flatten(F.col("p.ids")).alias("ids"), docs.alias("docs"))
 
     def slots(self) -> DataFrame:
-        """The drawn slots: ``shard, source, epoch, block, draw``; ``draw`` is a pseudorandom place within the shard."""
+        """The drawn slots: ``shard, source, epoch, block, draw``; ``draw`` is a pseudorandom place within the shard.
+
+        A source's quota is drawn over groups of shards here, a number a group, and over the shards of a group in its
+        task; both are multinomial, so the whole is. A row then stands for the slots of one shard, whose number is bounded.
+        """
         rng = np.random.default_rng(self.seed)
+        sizes = [min(GROUP, self.shards - g) for g in range(0, self.shards, GROUP)]
         rows = []
         for k, p in enumerate(self.plan):
             if p.quota:
-                counts = rng.multinomial(p.quota, np.full(self.shards, 1 / self.shards))
+                counts = rng.multinomial(p.quota, np.array(sizes) / self.shards)
                 starts = np.cumsum(counts) - counts
-                rows += [(s, p.source, k, p.blocks, int(a), int(c)) for s, (a, c) in enumerate(zip(starts, counts)) if c]
-        table = self.spark.createDataFrame(rows, "shard int, source string, k int, blocks bigint, first bigint, count bigint")
-        each = table.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))).select(
-            "shard", "source", "k", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot")
-        )
+                rows += [(g, n, p.source, k, p.blocks, int(a), int(c)) for g, (n, a, c) in enumerate(zip(sizes, starts, counts)) if c]
+        table = self.spark.createDataFrame(rows, "part int, shards int, source string, k int, blocks bigint, first bigint, count bigint").repartition("part", "k")
         seed = self.seed
 
+        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    counts = np.random.default_rng([seed, r["k"], r["part"]]).multinomial(r["count"], np.full(r["shards"], 1 / r["shards"]))
+                    some = np.flatnonzero(counts)
+                    n = len(some)
+                    columns = [
+                        pa.array(r["part"] * GROUP + some, pa.int64()), pa.array([r["source"]] * n, pa.string()), pa.array([r["k"]] * n, pa.int32()), pa.array([r["blocks"]] * n, pa.int64()),
+                        pa.array((r["first"] + np.cumsum(counts) - counts)[some], pa.int64()), pa.array(counts[some], pa.int64()),
+                    ]
+                    yield pa.record_batch(columns, ["shard", "source", "k", "blocks", "first", "count"])
+
+        shared = table.mapInArrow(share, "shard bigint, source string, k int, blocks bigint, first bigint, count bigint")
+        each = shared.select("shard", "source", "k", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 k, n, slot = (b.column(i).to_numpy() for i in (2, 3, 4))
@@ -172,20 +221,35 @@ class Mixture:
                 out = [b.column(0), b.column(1), pa.array(epoch.astype(np.int32)), pa.array(block), b.column(4)]
                 yield pa.record_batch(out, ["shard", "source", "epoch", "block", "slot"])
 
-        drawn = each.mapInArrow(run, "shard int, source string, epoch int, block bigint, slot bigint")
+        drawn = each.mapInArrow(run, "shard bigint, source string, epoch int, block bigint, slot bigint")
         return drawn.select("shard", "source", "epoch", "block", F.xxhash64("source", "slot", F.lit(self.seed)).alias("draw"))
 
     def mixture(self) -> DataFrame:
-        """The mixed blocks: ``shard, draw, source, epoch, block, n_tokens, ids``; within a shard ordered by ``draw``."""
+        """The mixed blocks: ``shard, draw, source, epoch, block, n_tokens, ids, docs``; within a shard ordered by ``draw``.
+
+        ``docs`` names the stretches of texts a block is made of, so uses of a text can be counted from the result.
+        """
         b = self.blocks().withColumnsRenamed({"source": "_s", "block": "_b"})
         joined = self.slots().join(b, (F.col("source") == F.col("_s")) & (F.col("block") == F.col("_b")))
-        return joined.select("shard", "draw", "source", "epoch", "block", F.size("ids").alias("n_tokens"), "ids")
+        return joined.select("shard", "draw", "source", "epoch", "block", F.size("ids").alias("n_tokens"), "ids", "docs")
+
+    def _uses(self) -> DataFrame:
+        return self.slots().groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count(F.lit(1)).alias("uses"))
+
+    def doc_uses(self) -> DataFrame:
+        """How often each text was used: ``doc_id, source, tokens, used_tokens, most_uses, max_repeats``, most_uses that of its most used stretch.
+
+        Texts without an id come as one row a source.
+        """
+        used = self.pieces(False).join(self._uses(), (F.col("source") == F.col("_s")) & (F.col("block") == F.col("_b")), "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        caps = F.create_map(*[F.lit(x) for p in self.plan for x in (p.source, p.max_repeats)]) if self.plan else F.lit(None).cast("map<string,int>")
+        per = used.groupBy("doc_id", "source").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
+        return per.withColumn("max_repeats", caps[F.col("source")])
 
     def shares(self) -> DataFrame:
         """What was reached, by source: ``source, weight, max_repeats, available_tokens, blocks, tokens, share, most_uses``."""
-        sizes = self.pieces(False).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.sum("n").alias("n"))
-        uses = self.slots().groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
-        used = uses.join(sizes, (F.col("source") == F.col("_s")) & (F.col("block") == F.col("_b")))
+        sizes = self.pieces(False).groupBy("source", "block").agg(F.sum("n").alias("n"))
+        used = self._uses().join(sizes, (F.col("source") == F.col("_s")) & (F.col("block") == F.col("_b")))
         per = used.groupBy(F.col("source").alias("_src")).agg(
             F.sum("uses").alias("blocks"), F.sum(F.col("n") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses")
         )

@@ -101,6 +101,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+@_query
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often each speech was used, against its source's cap."""
+    return _mixture(spark, d).doc_uses()
+
+
 @_query
 def p8_method(spark: SparkSession, d: str) -> DataFrame:
     """The classifier's word alone, before words and bigrams counted over all texts decide."""
