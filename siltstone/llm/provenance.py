@@ -4,14 +4,15 @@ Evidence, in this order:
 
 * notices in the file's header comment, found by one multi-pattern automaton over all files;
 * path rules: directories and suffixes of generators, package layouts below vendored directories,
-  suffixes of minified files and lockfiles;
-* known third-party content: the hash of an upstream file, or the body of a file that is vendored by other evidence;
+  suffixes of minified files and lockfiles (these two are the method, ``by_notice_and_path``);
+* for files with neither, which the method cannot see, known third-party content: the hash of an upstream file, or the body of a file that is vendored by other evidence;
 * the shape of the whole content: share of text in overlong lines, share of text that is literal
   data, and runs of lines that differ only by a counter.
 
 A notice counts only in the header comment, so a file that prints, quotes or serves notices in its
-code stays hand-written; a directory that is merely called like a vendored one counts only with a
-package's layout below it.
+code stays hand-written, and only where it is said of the file: at the beginning of a sentence, or
+after words like "this file was". A directory that is merely called like a vendored one counts only
+with a package's layout below it or a licence in the header.
 """
 
 from __future__ import annotations
@@ -38,7 +39,13 @@ NOTICES = {
     "vendored": [
         "standalone build", "bundled copy", "is granted to use, copy and modify", "released under a permissive license", "permission is hereby granted",
     ],
+    "license": [
+        "mit license", "bsd license", "apache license", "mozilla public license", "gnu general public license", "gnu lesser general public license", "isc license", "spdx-license-identifier",
+        "released under the", "licensed under the mit", "licensed under the apache", "licensed under the bsd", "redistribution and use in source and binary forms",
+    ],
 }
+# What may stand before a notice in its sentence when it is said of the file itself.
+SAID_OF_FILE = frozenset("this file files code source module class content contents stub stubs bindings is was are were has have been it automatically auto machine the following note warning attention please any all manual".split())
 # A header that says the generator's output was taken over by hand outweighs a notice.
 BY_HAND = ("by hand after", "edit freely", "no longer generated", "not generated")
 
@@ -47,11 +54,15 @@ GENERATED_PATH = re.compile(
 )
 MINIFIED_PATH = re.compile(r"\.min\.\w+$", re.I)
 DATA_PATH = re.compile(r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|go\.sum|composer\.lock)$", re.I)
-# Below a vendored directory a package has its own folder, and a file of its name.
+# Directories of third-party packages only: whatever lies in a package's folder below counts.
+PACKAGES_PATH = re.compile(r"(?:^|/)(?:vendored|third[_-]?party|node_modules|bower_components|site-packages)/(?:@[\w-]+/)?[\w.@+-]+/(?:[^/]+/)*[^/]+$", re.I)
+NODE_MODULES = re.compile(r"(?:^|/)(?:node_modules|bower_components|site-packages)/", re.I)
+# Names that also stand for things of the project's own: below them a package shows by a host name, by a file called
+# like its folder, or by an entry file of the folder.
 VENDORED_PATH = re.compile(
-    r"(?:^|/)(?:vendor|vendored|third[_-]?party|node_modules|deps|external|externals|bower_components|site-packages)/(?:@[\w-]+/)?([\w.-]+)/(?:[^/]+/)*\1\.\w+$", re.I
+    r"(?:^|/)(?:vendor|deps|externals?)/(?:@[\w-]+/)?(?:[\w-]+(?:\.[\w-]+)+/(?:[^/]+/)+[^/]+|([\w.-]+)/(?:(?:[^/]+/)*\1[\d.-]*\.\w+|(?:index|mod|lib|__init__|setup)\.\w+|(?:src|lib|dist)/(?:[^/]+/)*(?:\1|index|mod|lib|main|__init__)[\d.-]*\.\w+))$", re.I
 )
-NODE_MODULES = re.compile(r"(?:^|/)(?:node_modules|bower_components|site-packages)/", re.I)
+VENDORED_DIRECTORY = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]?party|deps|externals?)/", re.I)
 RELEASE = re.compile(r"^\W*(?:part of the ([a-z][\w.-]*) library, release \d|([a-z][\w.-]*) v?\d+\.\d+\.\d+\b)", re.I | re.M)
 MAINTAINERS = re.compile(r"copyright(?: \(c\))? \d{4}(?:-\d{4})? the ([\w-]+) maintainers", re.I)
 
@@ -79,6 +90,29 @@ def automaton() -> ahocorasick.Automaton:
     return _automaton
 
 
+_SENTENCE = re.compile(r"[.;:!?\u2013\u2014]\s+|[.;:!?]$|--+")
+
+
+def notices_in(header: str) -> dict[str, str]:
+    """The notices a header says of its file, the first of each sort; a notice carries those after it in its line."""
+    low = header.lower()
+    found: dict[str, str] = {}
+    carried = -1  # the end of the last line with a notice
+    for last, (sort, phrase) in automaton().iter(low):
+        at = last - len(phrase) + 1
+        line = low.rfind("\n", 0, at) + 1
+        before = _SENTENCE.split(low[line:at])[-1]
+        said = line <= carried or all(w in SAID_OF_FILE for w in _LETTERS.findall(before))
+        if sort in ("license", "by_hand") or said:
+            found.setdefault(sort, phrase)
+            if sort == "generated":
+                carried = at
+    return found
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def header_of(text: str) -> str:
     """The comments and blank lines before the first code."""
     return _HEADER.match(text.removeprefix("﻿")).group(0)
@@ -88,7 +122,7 @@ _COMMENT_LINE = re.compile(r"^[ \t]*(?://|#|/\*|\*).*$", re.M)
 
 
 def body_key(text: str) -> bytes | None:
-    """A fingerprint of the code without its header, lines of comment and blanks; none for short bodies."""
+    """A fingerprint of the code without its header, lines of comment and blanks; none for bodies under ``LEAST_BODY``."""
     body = "".join(_COMMENT_LINE.sub("", text[len(header_of(text)) :].replace("\r", "\n")).split())
     return hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(body) >= LEAST_BODY else None
 
@@ -109,8 +143,8 @@ def counter_share(text: str) -> tuple[int, float]:
         shape = _NUMBER.sub("9", _WORD.sub("w", ln))
         seen[shape] = seen.get(shape, 0) + 1
         numbers = _NUMBER.findall(_WORD.sub("w", ln))
-        if numbers:
-            n = int(numbers[-1][:15])
+        if numbers and len(numbers[-1]) <= 18:  # what counts lines is no longer number
+            n = int(numbers[-1])
             if last.get(shape) == n - 1:
                 counted += 1
                 shapes_counted.add(shape)
@@ -123,6 +157,27 @@ def counter_share(text: str) -> tuple[int, float]:
     return counted, block / total
 
 
+def by_notice_and_path(path: str, header: str) -> tuple[str, str, bool] | None:
+    """The method alone, the automaton's notices and the path rules: sort, evidence and whether a notice decided."""
+    found = notices_in(header) if header.strip() else {}
+    if "by_hand" not in found:
+        if "generated" in found:
+            return "generated", f"notice: {found['generated']}", True
+        if "vendored" in found and (RELEASE.search(header) or VENDORED_DIRECTORY.search(path)):
+            return "vendored", f"notice: {found['vendored']}", True
+    if VENDORED_PATH.search(path) or PACKAGES_PATH.search(path) or NODE_MODULES.search(path):
+        return "vendored", "path of a package", False
+    if VENDORED_DIRECTORY.search(path) and ("license" in found or "vendored" in found):
+        return "vendored", "licence in a vendored directory", True
+    if GENERATED_PATH.search(path):
+        return "generated", "path of generated files", False
+    if DATA_PATH.search(path):
+        return "data", "lockfile", False
+    if MINIFIED_PATH.search(path):
+        return "minified", "path of minified files", False
+    return None
+
+
 def sort_of(path: str | None, repo: str | None, content: bytes | None) -> tuple[str, str, str | None, bool]:
     """One file's sort, the evidence, whose maintainers' notice it holds (if not the repository's) and whether a notice decided.
 
@@ -132,25 +187,10 @@ def sort_of(path: str | None, repo: str | None, content: bytes | None) -> tuple[
     text = (content or b"").decode("utf-8", "replace")
     header = header_of(text)
     maintainer = None
-    if header.strip():
-        found: dict[str, str] = {}
-        for _, (sort, phrase) in automaton().iter(header.lower()):
-            found.setdefault(sort, phrase)
-        if "by_hand" not in found:
-            if "generated" in found:
-                return "generated", f"notice: {found['generated']}", None, True
-            if "vendored" in found and (RELEASE.search(header) or VENDORED_PATH.search(path)):
-                return "vendored", f"notice: {found['vendored']}", None, True
-        if (m := MAINTAINERS.search(header)) and m.group(1).lower() != (repo or "").lower():
-            maintainer = m.group(1).lower()
-    if VENDORED_PATH.search(path) or NODE_MODULES.search(path):
-        return "vendored", "path of a package", maintainer, False
-    if GENERATED_PATH.search(path):
-        return "generated", "path of generated files", maintainer, False
-    if DATA_PATH.search(path):
-        return "data", "lockfile", maintainer, False
-    if MINIFIED_PATH.search(path):
-        return "minified", "path of minified files", maintainer, False
+    if (m := MAINTAINERS.search(header)) and m.group(1).lower() != (repo or "").lower() and "by_hand" not in notices_in(header):
+        maintainer = m.group(1).lower()
+    if told := by_notice_and_path(path, header):
+        return told[0], told[1], None if told[2] else maintainer, told[2]
     body = text[len(header) :]
     size = len(body.strip())
     if size >= LEAST_BODY:
@@ -169,6 +209,8 @@ def sort_of(path: str | None, repo: str | None, content: bytes | None) -> tuple[
     return "hand_written", "", maintainer, False
 
 
+#: Parameters of what the content tells. Bodies under LEAST_BODY characters are too short to tell a table, one line or a
+#: copy from common code (two files with nothing but an import would be copies of each other); they go by the rest.
 LEAST_BODY = 200
 DATA_RESIDUE = 0.07
 DATA_CODE = 80  # characters of declarations around a table; whole functions take more
@@ -178,6 +220,22 @@ _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 # A body can only count on for COUNTED lines if the number COUNTED - 1 or a greater one stands in it.
 _COUNTS_ON = re.compile(r"(?<![\w.])(?:39|[4-9]\d|[1-9]\d\d+)(?![\w.])")
 
+def classify_by_method(files: DataFrame) -> DataFrame:
+    """``file_id, repo, path, sort, evidence`` of every distinct file by notices and path rules alone; cases as in ``classify_files``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for p, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                got.append(by_notice_and_path((p or "").replace("\\", "/"), header_of((c or b"").decode("utf-8", "replace"))) or ("hand_written", "", False))
+            yield pa.record_batch([*b.columns[:3], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["file_id", "repo", "path", "sort", "evidence"])
+
+    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), "repo", "path", "content")
+    judged = rows.mapInArrow(run, "file_id bigint, repo string, path string, sort string, evidence string")
+    key = F.struct("file_id", F.when(F.col("file_id").isNull(), F.monotonically_increasing_id()).alias("row")).alias("_u")
+    return judged.withColumn("_u", key).groupBy("_u").agg(F.min(F.struct("file_id", "repo", "path", "sort", "evidence")).alias("r")).select("r.*")
+
+
 _OUT = "file_id bigint, repo string, path string, hash string, sort string, evidence string, maintainer string, noticed boolean, body binary"
 
 

@@ -12,7 +12,7 @@ from ..session import materialize, table
 from .bpe import encode
 from .garbled import find, predicted
 from .mixing import Mixture
-from .provenance import classify_files
+from .provenance import classify_by_method, classify_files
 from .terms import marked, remaining_records, term_bitmaps, term_frequencies
 from .validity import check_files, rates
 
@@ -26,6 +26,12 @@ def _query(f: Query) -> Query:
     return f
 
 
+@_query
+def p2_method(spark: SparkSession, d: str) -> DataFrame:
+    """Notices and path rules alone, which cannot see files that have neither."""
+    return classify_by_method(table(spark, d, "files"))
+
+
 @_query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_file_sorts(spark, d).filter("sort <> 'hand_written'").select("file_id")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from siltstone.llm.provenance import classify_files, sort_of
+from siltstone.llm.provenance import classify_by_method, classify_files, sort_of
 
 CODE = b"import os\n\n\ndef load(path, default=None):\n    if not os.path.exists(path):\n        return default\n    with open(path) as f:\n        return f.read().strip() or default\n\n\ndef save(path, text):\n    with open(path, 'w') as f:\n        f.write(text)\n"
 GETTERS = b"class A:\n\n" + b"".join(b"    def get_%s_%03d(self):\n        return self._values[%d]\n\n" % (w, i, i) for i, w in enumerate([b"alpha", b"beta", b"gamma"] * 30))
@@ -22,6 +22,10 @@ CASES = [
     ("web/a.js", b"/*! a v1 */\n" + b"!function(){var a=1,b=[2,3];function c(d,e){return d&&e>5?c(d):null}" * 30, "minified"), ("web/a.min.js", b"x", "minified"),
     ("src/words.py", CODE + b'\nWORDS = "' + b"alpha beta gamma " * 200 + b'"\n', "hand_written"),
     ("src/table.py", b"TABLE = [\n" + b"    " + b"12345, " * 12 * 20 + b"\n]\n", "data"), ("src/font.js", b'export default "data:font/woff2;base64,' + b"QmFzZTY0" * 100 + b'";\n', "data"), ("package-lock.json", b"{}", "data"),
+    ("vendor/github.com/pkg/errors/stack.go", b"package errors\n", "vendored"), ("third_party/uuid/index.js", CODE, "vendored"), ("third_party/uuid/lib/rng.js", CODE, "vendored"), ("a/deps/foo/src/foo2.ts", CODE, "vendored"),
+    ("vendor/uuid.js", b"// uuid.js\n// MIT License\n// Copyright (c) 2010\n" + CODE, "vendored"), ("src/uuid.js", b"// MIT License\n// Copyright (c) 2010\n" + CODE, "hand_written"), ("shop/vendor/reports/total.py", CODE, "hand_written"), ("shop/vendor/uuid.js", CODE, "hand_written"),
+    ("src/a.py", b"# Users do not edit these by accident, so names are checked.\n" + CODE, "hand_written"), ("src/a.py", b"# Reads what was generated by the importer.\n" + CODE, "hand_written"), ("src/a.py", b"# Note: this file was generated by x.\n" + CODE, "generated"),
+    ("src/a.py", b"# Models. Do not edit.\n" + CODE, "generated"), ("src/a.py", b"# a.py -- generated by x; do not edit\n" + CODE, "generated"),
     ("src/a.py", b"", "hand_written"), (None, None, "hand_written"), ("src/a.py", b"\xff\xfe\x00", "hand_written"),
 ]
 
@@ -56,3 +60,17 @@ def test_copies_show_by_their_body(spark):
     files = spark.createDataFrame(rows, "file_id bigint, repo string, path string, content_hash string, content binary")
     upstream = spark.createDataFrame([], "package string, content_hash string")
     assert {r.file_id: r.sort for r in classify_files(files, upstream).collect()} == {1: "vendored", 2: "vendored", 3: "hand_written", 4: "hand_written"}
+
+
+def test_the_method_alone(spark):
+    rows = [(1, "r", "a.py", b"# @generated\n" + CODE), (1, "r", "a.py", b"# @generated\n" + CODE), (2, "r", "x.min.js", b"x"), (3, "r", "t.py", b"T = [" + b"1234, " * 400 + b"]\n"), (None, None, None, None)]
+    files = spark.createDataFrame([(*r, "x") for r in rows], "file_id bigint, repo string, path string, content binary, sort string")
+    assert sorted(((r.file_id or 0, r.sort) for r in classify_by_method(files).collect())) == [(0, "hand_written"), (1, "generated"), (2, "minified"), (3, "hand_written")]
+    assert classify_by_method(files.limit(0)).count() == 0
+
+
+def test_long_numbers_are_no_counters():
+    lines = b"".join(b"    f(1%025d)\n" % i for i in range(90))
+    assert sort_of("src/a.py", "r", CODE + lines)[0] == "hand_written"
+    assert sort_of("src/a.py", "r", CODE + b"".join(b"    f(%d)\n" % i for i in range(90)))[0] == "generated"
+    assert sort_of("src/a.py", "r", b"A = '" + b"9" * 6000 + b"'\n" + CODE)[0] == "hand_written"
