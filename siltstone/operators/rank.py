@@ -48,9 +48,10 @@ def ranked(scores: DataFrame, top: int | None = None) -> DataFrame:
     """``repo, path, score, rank`` by descending score, ties by path; the first ``top`` of a repository.
 
     A full ranking is cut into ranges of (repository, score, path); a row's rank is its place in its
-    range plus what lies before it, so no repository is sorted in one task.
+    range plus what lies before it, so no repository is sorted in one task. Scores that differ by less
+    than the noise of sums taken in another order count as equal.
     """
-    order = [F.desc("score"), F.asc("path")]
+    order = [F.desc(F.round("score", 12)), F.asc("path")]
     if top is not None:
         place = F.row_number().over(Window.partitionBy("repo").orderBy(*order)).alias("rank")
         return scores.select("repo", "path", "score", place).filter(F.col("rank") <= top)

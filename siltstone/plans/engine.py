@@ -142,9 +142,10 @@ class Engine:
 
     def _render(self, scores: DataFrame, budget: int, format: str) -> str:
         total = self.nodes.count()
-        top = scores.orderBy(F.desc("score"), "path").limit(candidate_limit(budget))
+        order = (F.desc(F.round("score", 12)), F.asc("path"))
+        top = scores.orderBy(*order).limit(candidate_limit(budget))
         info = self.files.select(F.col("path").alias("_p"), "language", "symbols")
-        rows = top.join(info, F.col("path") == F.col("_p"), "left").orderBy(F.desc("score"), "path").collect()
+        rows = top.join(info, F.col("path") == F.col("_p"), "left").orderBy(*order).collect()
         items = [Item(r["path"], r["score"], r["language"] or "unknown", [s.asDict() for s in r["symbols"] or []], r["_p"] is not None) for r in rows]
         return render(items, total, budget, format, self.count)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..extract.scanner import IMPORT_PATTERNS
 from ..functions import text as t
+from ..functions.tokens import estimate
 from ..operators import evidence, graph, index, lexical, pagerank, rank, resolve
 from ..session import materialize, table
 
@@ -438,7 +440,7 @@ def rank_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(seed: str, start: str, mix: tuple, damp: str) -> str:
-    """SQL of a hybrid rank; ``seed`` selects ``repo, path, v`` of all nodes."""
+    """SQL of a hybrid rank ``rk(repo, path, score)``; ``seed`` selects ``repo, path, v`` of all nodes."""
     return _steps(start) + f"""
 , sd AS ({seed}), mx AS (SELECT repo, max(v) AS m FROM sd GROUP BY repo)
 , sn AS (SELECT sd.repo, sd.path, CASE WHEN m > 0 THEN v / m ELSE 0 END::DOUBLE AS v FROM sd JOIN mx USING (repo))
@@ -446,53 +448,47 @@ def _hybrid(seed: str, start: str, mix: tuple, damp: str) -> str:
 , s2 AS (SELECT nb.repo, nb.other AS path, max(0.6::DOUBLE * v) AS v FROM s1 JOIN nb ON nb.repo = s1.repo AND nb.path = s1.path GROUP BY ALL)
 , sx AS (SELECT repo, path, max(v) AS v FROM (SELECT * FROM sn UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY ALL)
 , pr AS (SELECT repo, path, x / sum(x) OVER (PARTITION BY repo) AS v FROM xk)
-SELECT sn.repo, sn.path, round(CASE WHEN mx.m > 0 THEN ({mix[0]} * sn.v + {mix[1]} * sx.v / nullif(max(sx.v) OVER k, 0) + {mix[2]} * pr.v / max(pr.v) OVER k) * {damp} ELSE pr.v END, 4) AS score
-FROM sn JOIN mx USING (repo) JOIN sx ON sx.repo = sn.repo AND sx.path = sn.path JOIN pr ON pr.repo = sn.repo AND pr.path = sn.path WINDOW k AS (PARTITION BY sn.repo)"""
+, rk AS (SELECT sn.repo, sn.path, CASE WHEN mx.m > 0 THEN ({mix[0]} * sn.v + {mix[1]} * sx.v / nullif(max(sx.v) OVER k, 0) + {mix[2]} * pr.v / max(pr.v) OVER k) * {damp} ELSE pr.v END AS score
+FROM sn JOIN mx USING (repo) JOIN sx ON sx.repo = sn.repo AND sx.path = sn.path JOIN pr ON pr.repo = sn.repo AND pr.path = sn.path WINDOW k AS (PARTITION BY sn.repo))
+"""
 
 
 _LX = "SELECT nd.repo, nd.path, coalesce(lexical, 0)::DOUBLE AS v FROM nd LEFT JOIN lx ON lx.repo = nd.repo AND lx.path = nd.path"
 _FROM_LX = f"SELECT repo, path, CASE WHEN sum(v) OVER k > 0 THEN v / sum(v) OVER k ELSE 1.0::DOUBLE / count(*) OVER k END AS p FROM ({_LX}) WINDOW k AS (PARTITION BY repo)"
 _DAMP = f"CASE WHEN {_IS_TEST.replace('path', 'sn.path')} THEN 0.6 ELSE 1.0 END"
-SQL["rank_query"] = BASE + _EDGES + _lexical_for(QUERY) + _hybrid(_LX, _FROM_LX, rank.QUERY_MIX, _DAMP)
-SQL["rank_test_query"] = BASE + _EDGES + _lexical_for(TEST_QUERY) + _hybrid(_LX, _FROM_LX, rank.QUERY_MIX, "1.0")
+_RANKS = "SELECT repo, path, round(score, 4) AS score FROM rk"
+_QUERY_RANKS = _lexical_for(QUERY) + _hybrid(_LX, _FROM_LX, rank.QUERY_MIX, _DAMP)
+SQL["rank_query"] = BASE + _EDGES + _QUERY_RANKS + _RANKS
+SQL["rank_test_query"] = BASE + _EDGES + _lexical_for(TEST_QUERY) + _hybrid(_LX, _FROM_LX, rank.QUERY_MIX, "1.0") + _RANKS
 _SD = f"SELECT nd.repo, nd.path, (nd.path = (SELECT min(path) FROM f WHERE f.repo = nd.repo AND {_IS_TEST}))::INT::DOUBLE AS v0 FROM nd"
 _SD = f"SELECT repo, path, coalesce(v0, 0) AS v FROM ({_SD})"
-SQL["rank_files"] = BASE + _EDGES + _hybrid(
+_FILE_RANKS = _hybrid(
     _SD, f"SELECT repo, path, CASE WHEN sum(v) OVER k > 0 THEN v / sum(v) OVER k ELSE 1.0::DOUBLE / count(*) OVER k END AS p FROM ({_SD}) WINDOW k AS (PARTITION BY repo)", rank.FILES_MIX, "1.0"
 )
+SQL["rank_files"] = BASE + _EDGES + _FILE_RANKS + _RANKS
 
 
-@_query
-def tiers_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Tiers by number of symbols, with summaries."""
-    f = files(spark, d, "symbols")
-    tiers = rank.tiers(f.select("repo", "path", F.size("symbols").cast("double").alias("score")))
-    s = f.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.expr(lexical.summary()).alias("summary"))
-    return tiers.join(s, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p"))).select("repo", "path", "rank", "tier", "summary")
-
-
-SQL["tiers_summary"] = BASE + r"""
-, o AS (SELECT repo, path, symbols, row_number() OVER (PARTITION BY repo ORDER BY len(symbols) DESC, path)::INT AS rank, count(*) OVER (PARTITION BY repo) AS n FROM f)
-SELECT repo, path, rank, CASE WHEN rank <= greatest(1, ceil(n * 0.3::DOUBLE)) THEN 1 WHEN rank <= greatest(1, ceil(n * 0.6::DOUBLE)) THEN 2 WHEN rank <= greatest(1, ceil(n * 0.8::DOUBLE)) THEN 3 ELSE 4 END::INT AS tier,
-  CASE WHEN len(symbols) > 0 THEN 'Defines: ' || array_to_string(list_transform(symbols[1:5], lambda x: x.name), ', ') || CASE WHEN len(symbols) > 5 THEN ', ...' ELSE '' END END AS summary FROM o
+_GLOBAL = _steps("SELECT repo, path, 1.0::DOUBLE / count(*) OVER (PARTITION BY repo) AS p FROM nd")
+# Files by PageRank, with their tier and what is printed of them.
+_PLACED = r"""
+, o AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY round(x / total, 12) DESC, path)::INT AS rank, n FROM (SELECT *, sum(x) OVER (PARTITION BY repo) AS total, count(*) OVER (PARTITION BY repo) AS n FROM xk)
+), o2 AS (
+  SELECT o.*, coalesce(f.symbols, []) AS symbols, f.language, CASE WHEN rank <= greatest(1, ceil(n * 0.3::DOUBLE)) THEN 1 WHEN rank <= greatest(1, ceil(n * 0.6::DOUBLE)) THEN 2 WHEN rank <= greatest(1, ceil(n * 0.8::DOUBLE)) THEN 3 ELSE 4 END::INT AS tier,
+    CASE WHEN len(f.symbols) > 0 THEN 'Defines: ' || array_to_string(list_transform(f.symbols[1:5], lambda x: x.name), ', ') || CASE WHEN len(f.symbols) > 5 THEN ', ...' ELSE '' END END AS summary
+  FROM o LEFT JOIN f ON f.repo = o.repo AND f.path = o.path)
 """
 
 
 @_query
-def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Files of each repository, by path, whose summaries fit a budget of 400 characters before the first that doesn't."""
-    from pyspark.sql import Window
-
-    f = files(spark, d, "symbols").select("repo", "path", F.expr(f"length(coalesce({lexical.summary()}, path))").alias("cost"))
-    w = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    return f.withColumn("used", F.sum("cost").over(w)).filter("used <= 400")
+def tiers_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers by PageRank, with summaries."""
+    f, e = graph_of(spark, d)
+    tiers = rank.tiers(rank.rank_structure(materialize(graph.nodes_of(f, e), "nodes"), e))
+    s = f.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.expr(lexical.summary()).alias("summary"))
+    return tiers.join(s, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")), "left").select("repo", "path", "rank", "tier", "summary")
 
 
-SQL["budget_prefix"] = BASE + r"""
-, c AS (SELECT repo, path, length(coalesce(CASE WHEN len(symbols) > 0 THEN 'Defines: ' || array_to_string(list_transform(symbols[1:5], lambda x: x.name), ', ') || CASE WHEN len(symbols) > 5 THEN ', ...' ELSE '' END END, path))::INT AS cost FROM f
-), u AS (SELECT *, sum(cost) OVER (PARTITION BY repo ORDER BY path ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM c)
-SELECT * FROM u WHERE used <= 400
-"""
+SQL["tiers_summary"] = BASE + _EDGES + _GLOBAL + _PLACED + "SELECT repo, path, rank, tier, summary FROM o2"
 
 
 @_query
@@ -536,16 +532,92 @@ SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY len(symbo
 """
 
 
+def _evidence_sql(ranks: str, words: list[str], symbols: str) -> str:
+    """SQL of evidence files ``ef``, the first 8 of each repository; ``symbols`` makes ``es(repo, path, name, line, end_line, matched_terms, rn)``."""
+    ks, compact = f"{words}::VARCHAR[]", "".join(words)
+    own = f"""CASE WHEN '{compact}' <> '' AND lower(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', ''), '[^A-Za-z0-9]', '', 'g')) = '{compact}' THEN ['exact-path-shape']
+      WHEN {len(words)} > 1 AND sto THEN ['ordered-path-match'] ELSE [] END""" if words else "[]"
+    return ranks + symbols + f"""
+, tp AS (SELECT rk.repo, rk.path, rk.score, f.language, f.symbols, row_number() OVER (PARTITION BY rk.repo ORDER BY round(rk.score, 12) DESC, rk.path)::INT AS k FROM rk JOIN f ON f.repo = rk.repo AND f.path = rk.path QUALIFY k <= 8
+), ebs AS (SELECT repo, src AS path, dst AS other, 'outgoing' AS direction, kind, list_sort(list_distinct(symbols))[1:5] AS symbols FROM e UNION ALL SELECT repo, dst, src, 'incoming', kind, list_sort(list_distinct(symbols))[1:5] FROM e
+), enb AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY len(symbols) DESC, lower(other), direction, kind, other) AS nk FROM ebs QUALIFY nk <= 3
+), ena AS (SELECT repo, path, list(other || ' ' || kind || ' ' || direction ORDER BY nk) AS neighbors FROM enb GROUP BY repo, path
+), esa AS (SELECT repo, path, list(name ORDER BY rn) AS names, list_distinct(flatten(list(matched_terms))) AS terms, min(line) AS focus_start, max(coalesce(nullif(end_line, 0), line)) AS focus_end FROM es GROUP BY repo, path
+), ef0 AS (
+  SELECT tp.*, {'coalesce(fb.sto, false)' if words else 'false'} AS sto, list_filter({ks}, lambda y: contains(lower(tp.path), y){" OR list_contains(fb.pt, y)" if words else ""}) AS in_path, coalesce(esa.terms, []) AS terms, coalesce(esa.names, []) AS names, focus_start, focus_end, coalesce(ena.neighbors, []) AS neighbors
+  FROM tp LEFT JOIN esa ON esa.repo = tp.repo AND esa.path = tp.path LEFT JOIN ena ON ena.repo = tp.repo AND ena.path = tp.path {"LEFT JOIN fb ON fb.repo = tp.repo AND fb.path = tp.path" if words else ""}
+), ef1 AS (
+  SELECT *, list_concat({"CASE WHEN path = (SELECT min(path) FROM f WHERE f.repo = ef0.repo AND " + _IS_TEST + ") THEN ['seed-file'] ELSE [] END" if not words else "[]"}, {own}, CASE WHEN len(in_path) > 0 AND len(in_path) = {len(set(words))} THEN ['full-path-keyword-cover'] ELSE [] END,
+    CASE WHEN len(in_path) > 0 THEN ['path-match'] ELSE [] END, CASE WHEN len(terms) > 0 THEN ['symbol-match'] ELSE [] END, CASE WHEN len(neighbors) > 0 THEN ['graph-neighbor'] ELSE [] END) AS found FROM ef0
+), ef AS (
+  SELECT repo, k, path, round(score, 6) AS rank, language, CASE WHEN len(symbols) > 0 THEN 'Defines: ' || array_to_string(list_transform(symbols[1:5], lambda x: x.name), ', ') || CASE WHEN len(symbols) > 5 THEN ', ...' ELSE '' END END AS summary,
+    list_sort(list_distinct(list_concat(in_path, terms)))::VARCHAR[] AS matched_terms, CASE WHEN len(found) = 0 AND len(symbols) > 0 THEN ['structural-rank'] ELSE found END::VARCHAR[] AS reasons, names::VARCHAR[] AS symbols, neighbors::VARCHAR[] AS neighbors, focus_start, focus_end FROM ef1)
+"""
+
+
+def _evidence_rows(packs: DataFrame) -> DataFrame:
+    """The files of evidence packs as flat rows."""
+    each = packs.select("repo", F.posexplode("files").alias("k", "f"))
+    return each.select(
+        "repo", (F.col("k") + 1).alias("k"), "f.path", "f.rank", "f.language", "f.summary", "f.matched_terms", "f.reasons", F.col("f.symbols.name").alias("symbols"),
+        F.transform("f.neighbors", lambda n: F.concat_ws(" ", n["path"], n["kind"], n["direction"])).alias("neighbors"), F.col("f.focus_range.start").alias("focus_start"), F.col("f.focus_range.end").alias("focus_end"),
+    )
+
+
+def _packed(packs: DataFrame, *columns: str) -> DataFrame:
+    return packs.select("repo", "mode", "confidence", F.col("files.path").alias("paths"), *columns)
+
+
 @_query
 def evidence_query(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence packs of all repositories for a query: what is said of the pack as a whole."""
     f, e = graph_of(spark, d)
-    return evidence.query_evidence(f, e, QUERY)
+    return _packed(evidence.query_evidence(f, e, QUERY), "query", "matched_terms", "missed_terms")
+
+
+@_query
+def evidence_query_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the same packs."""
+    f, e = graph_of(spark, d)
+    return _evidence_rows(evidence.query_evidence(f, e, QUERY))
 
 
 @_query
 def evidence_files(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence packs around each repository's first test file by path."""
     f, e = graph_of(spark, d)
-    return evidence.file_evidence(f, e, _seeds(f))
+    return _packed(evidence.file_evidence(f, e, _seeds(f)), "seed_files")
+
+
+@_query
+def evidence_seed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the same packs."""
+    f, e = graph_of(spark, d)
+    return _evidence_rows(evidence.file_evidence(f, e, _seeds(f)))
+
+
+_QUERY_SYMBOLS = SQL["evidence_symbols"][len(BASE) :].rsplit("SELECT repo, path, name, line, score", 1)[0]
+for _cte in ("kw", "w0", "tk", "b", "sc", "kp", "pk"):
+    _QUERY_SYMBOLS = re.sub(rf"(?<![\w.']){_cte} AS (?=\()|(?<=FROM ){_cte}\b|(?<=JOIN ){_cte}\b", lambda m: m.group().replace(_cte, f"e_{_cte}", 1), _QUERY_SYMBOLS)  # noqa: B023
+_QUERY_SYMBOLS += "\n, es AS (SELECT p.repo, p.path, p.name, p.line, s.end_line, p.matched_terms, row_number() OVER (PARTITION BY p.repo, p.path ORDER BY p.score DESC, p.line, lower(p.name), p.ord) AS rn FROM e_pk p JOIN s ON s.repo = p.repo AND s.path = p.path AND s.ord = p.ord QUALIFY rn <= 5)\n"
+_FIRST_SYMBOLS = "\n, es AS (SELECT repo, path, name, line, end_line, []::VARCHAR[] AS matched_terms, row_number() OVER (PARTITION BY repo, path ORDER BY line, lower(name), ord) AS rn FROM s QUALIFY rn <= 5)\n"
+_FLAT = "SELECT repo, k, path, rank, language, summary, matched_terms, reasons, symbols, neighbors, focus_start, focus_end FROM ef"
+_OF_QUERY = BASE + _EDGES + _evidence_sql(_QUERY_RANKS, QUERY.split(), _QUERY_SYMBOLS)
+_OF_SEEDS = BASE + _EDGES + _evidence_sql(_FILE_RANKS, [], _FIRST_SYMBOLS)
+SQL["evidence_query_files"] = _OF_QUERY + _FLAT
+SQL["evidence_seed_files"] = _OF_SEEDS + _FLAT + f" WHERE repo IN (SELECT repo FROM f WHERE {_IS_TEST})"
+SQL["evidence_query"] = _OF_QUERY + f"""
+, packs AS (
+  SELECT repo, list(path ORDER BY k) AS paths, list_sort(list_distinct(flatten(list(matched_terms)))) AS matched_terms, max(rank) FILTER (k = 1) AS r1, coalesce(max(rank) FILTER (k = 2), 0) AS r2,
+    len(list_distinct(flatten(list(matched_terms) FILTER (k <= 3)))) AS covered, flatten(list(reasons) FILTER (k = 1)) AS top FROM ef GROUP BY repo)
+SELECT repo, 'query' AS mode, '{QUERY}' AS query, paths, matched_terms, list_filter({QUERY.split()}, lambda y: NOT list_contains(matched_terms, y)) AS missed_terms,
+  round(least(1, 0.2 + 0.35 * covered / {len(QUERY.split())} + 0.25 * CASE WHEN r2 <= 0 THEN 1 ELSE least(1, greatest(0, (r1 / r2 - 1) / 1.5)) END + CASE WHEN list_contains(top, 'exact-path-shape') THEN 0.1 ELSE 0 END + CASE WHEN list_contains(top, 'symbol-match') THEN 0.1 ELSE 0 END)::DOUBLE, 3) AS confidence FROM packs
+"""
+SQL["evidence_files"] = _OF_SEEDS + f"""
+, sf AS (SELECT repo, min(path) AS seed FROM f WHERE {_IS_TEST} GROUP BY repo
+), pk AS (SELECT repo, list(path ORDER BY k) AS paths, count(*) FILTER (k <= 3 AND len(neighbors) > 0) AS near, count(*) FILTER (k <= 3 AND focus_start IS NOT NULL) AS focused FROM ef GROUP BY repo)
+SELECT pk.repo, 'files' AS mode, paths, [seed] AS seed_files, round(least(1, 0.45 + 0.35 * list_contains(paths, seed)::INT + 0.1 * least(1, near / 3.0) + 0.1 * least(1, focused / 3.0))::DOUBLE, 3) AS confidence FROM pk JOIN sf ON sf.repo = pk.repo
+"""
 
 
 @_query
@@ -583,10 +655,67 @@ def extracted_references(spark: SparkSession, d: str) -> DataFrame:
     return index.references_of(extract(table(spark, d, "files").select("repo", "path", "content").distinct()))
 
 
-@_query
-def rendered_maps(spark: SparkSession, d: str) -> DataFrame:
-    """The map of every repository in a budget of 1024 tokens, as Markdown and JSON."""
+MAP_TOKENS = 1024
+
+
+def _maps(spark: SparkSession, d: str, budget: int) -> DataFrame:
     from .maps import render_all
 
     f, e = graph_of(spark, d)
-    return render_all(f, rank.rank_structure(materialize(graph.nodes_of(f, e), "nodes"), e), 1024)
+    return render_all(f, rank.rank_structure(materialize(graph.nodes_of(f, e), "nodes"), e), budget, estimate)
+
+
+@_query
+def rendered_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The map of every repository in a budget of MAP_TOKENS, as Markdown; tokens by the estimate, which needs no vocabulary."""
+    return _maps(spark, d, MAP_TOKENS).select("repo", "files_total", "markdown")
+
+
+@_query
+def rendered_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same without a limit that matters: all candidates in full."""
+    return _maps(spark, d, 10_000_000).select("repo", "files_total", "markdown")
+
+
+@_query
+def rendered_json(spark: SparkSession, d: str) -> DataFrame:
+    return _maps(spark, d, MAP_TOKENS).select("repo", "files_total", "json")
+
+
+_COUNT = r"""coalesce(list_sum(list_transform(regexp_extract_all({}, '(?i)''(?:[sdmt]|ll|ve|re)|[^\r\n\w]?[^\W\d_]+|\d{1,3}| ?[^\s\w]+[\r\n]*|_+|\s*[\r\n]|\s+'), lambda y: greatest(1, (strlen(y) + 2) // 3))), 0)"""
+
+
+def _count(text: str) -> str:
+    return _COUNT.replace("{}", text, 1)
+
+
+def _maps_sql(budget: int, candidates: int) -> str:
+    """SQL of the cut into a budget: a row a candidate, each with what was used before it."""
+    nl = "chr(10)"
+    full = f"head || '```' || fence || {nl} || array_to_string(list_transform(symbols[1:y], lambda z: z.signature || {nl}), '') || '```' || {nl}"
+    related = f"{nl} || '### Related files' || {nl}"
+    return BASE + _EDGES + _GLOBAL + _PLACED + f"""
+, i0 AS (SELECT *, {nl} || '### ' || path || {nl} || CASE WHEN summary IS NOT NULL THEN '> ' || summary || {nl} || {nl} ELSE {nl} END AS head, {nl} || '### ' || path || {nl} || {nl} AS bare,
+    CASE WHEN language IS NULL OR language IN ('unknown', 'binary') THEN '' ELSE language END AS fence FROM o2 WHERE rank <= {candidates}
+), i1 AS (
+  SELECT repo, rank, n, tier, bare, CASE WHEN tier = 1 AND len(symbols) > 0 THEN list_transform(range(1, len(symbols) + 1), lambda y: {full}) ELSE [] END AS parts,
+    CASE WHEN tier = 1 THEN head WHEN tier = 2 THEN head || array_to_string(list_transform(symbols, lambda z: '- ' || z.name || {nl}), '') WHEN tier = 3 THEN '- `' || path || '`' || CASE WHEN summary IS NOT NULL THEN ' — ' || summary ELSE '' END || {nl} ELSE '' END AS plain FROM i0
+), i2 AS (
+  SELECT repo, rank, n, tier, bare, parts, CASE WHEN len(parts) > 0 THEN parts[-1] ELSE plain END AS text, {_count("bare")} AS bare_cost, list_transform(parts, lambda q: {_count("q")}) AS costs FROM i1
+), i3 AS (SELECT *, {_count("text")} AS cost FROM i2
+), wr AS (
+  SELECT repo, 0 AS rank, {_count("title")}::BIGINT AS used, title AS md, false AS related, false AS done FROM (SELECT DISTINCT repo, '## Relevant Context' || {nl} AS title FROM i3)
+  UNION ALL
+  SELECT repo, rank, (used + heading + coalesce({_count("piece")}, 0))::BIGINT, md || CASE WHEN piece IS NOT NULL AND tier = 3 AND NOT listed THEN {related} ELSE '' END || coalesce(piece, ''), related OR tier = 3, done OR tier = 3 AND piece IS NULL FROM (
+    SELECT w.repo, i.rank, w.used, w.md, w.related, w.done, i.tier, h.heading, contains(w.md, {related}) AS listed,
+      CASE WHEN i.tier < 3 AND {budget} - w.used < 20 THEN NULL WHEN i.tier = 4 OR w.done THEN NULL WHEN w.used + h.heading + i.cost <= {budget} THEN i.text WHEN i.tier > 1 THEN NULL
+        WHEN len(list_filter(i.costs, lambda q: q <= {budget} - w.used)) > 0 THEN i.parts[len(list_filter(i.costs, lambda q: q <= {budget} - w.used))] WHEN i.bare_cost <= {budget} - w.used THEN i.bare END AS piece
+    FROM wr w JOIN i3 i ON i.repo = w.repo AND i.rank = w.rank + 1, LATERAL (SELECT CASE WHEN i.tier = 3 AND NOT w.related THEN {_count(related)} ELSE 0 END AS heading) h)
+)
+SELECT wr.repo, t.n AS files_total, CASE WHEN md = '## Relevant Context' || {nl} THEN md || '<!-- No files to display -->' || {nl} ELSE md END AS markdown
+FROM wr JOIN (SELECT repo, max(rank) AS last, any_value(n)::BIGINT AS n FROM i3 GROUP BY repo) t ON t.repo = wr.repo AND t.last = wr.rank
+"""
+
+
+SQL["rendered_maps"] = _maps_sql(MAP_TOKENS, MAP_TOKENS // 24)
+SQL["rendered_whole"] = _maps_sql(10_000_000, 128)

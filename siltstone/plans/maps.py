@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import default_counter
+from ..functions.tokens import TokenCounter, default_counter
 from ..operators.rank import ranked
 from .render import Item, candidate_limit, render
 
 
-def render_all(files: DataFrame, scores: DataFrame, budget: int) -> DataFrame:
+def render_all(files: DataFrame, scores: DataFrame, budget: int, counter: TokenCounter | None = None) -> DataFrame:
     """``repo, files_total, markdown, json`` of every repository with a ranked node.
 
     A group holds at most as many rows as a budget has candidates (128), whatever a repository's size.
@@ -24,7 +24,7 @@ def render_all(files: DataFrame, scores: DataFrame, budget: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         got = sorted(group.to_pylist(), key=lambda r: r["rank"])
         items = [Item(r["path"], r["score"], r["language"] or "unknown", r["symbols"] or [], r["language"] is not None) for r in got]
-        n, count = got[0]["total"], default_counter()
+        n, count = got[0]["total"], counter or default_counter()
         made = [[render(items, n, budget, kind, count)] for kind in ("markdown", "json")]
         return pa.table({"repo": pa.array([got[0]["repo"]], pa.string()), "files_total": pa.array([n], pa.int64()), "markdown": made[0], "json": made[1]})
 
