@@ -56,6 +56,8 @@ WITH RECURSIVE f AS (
 ), r AS (SELECT repo, path, language, u.target_name, u.target_file, u.line, lower(trim(u.kind)) AS kind, u.ord FROM (SELECT repo, path, language, unnest(refs) AS u FROM f))
 """
 
+_IS_TEST = r"(contains(lower(path), '/tests/') OR contains(lower(path), '/__tests__/') OR regexp_matches(lower(path), '(^|/)test_[^/]*$') OR regexp_matches(lower(path), '_test\.py$') OR regexp_matches(lower(path), '\.(test|spec)\.[^/]*$'))"
+
 _RESOLVE = r"""
 , a AS (SELECT DISTINCT repo, path, language, target_name, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') || '/' ELSE '' END AS pre,
     trim(target_name) AS nm FROM r WHERE target_file IS NULL AND target_name IS NOT NULL
@@ -187,6 +189,28 @@ FROM cur c FULL JOIN snap s ON s.repo = c.repo AND s.path = c.path
 """
 
 
+@_query
+def snapshot_store(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot written, its test files replaced by rows without lines, the first file of all removed, and what is then read back."""
+    from ..session import scratch_dir
+    from ..sources.snapshot import Snapshot
+
+    f = indexed(spark, d)
+    with Snapshot(spark, scratch_dir(spark, "snapshot")) as s:
+        s.write(f)
+        s.put(f.filter(F.expr(t.is_test_path("path"))).withColumn("lines", F.lit(0)))
+        first = s.get_all().orderBy("path", "repo").first()
+        if first:
+            s.invalidate(first["path"], first["repo"])
+        return s.get_all().select("repo", "path", "language", "content_hash", "lines", F.size("symbols").alias("n_symbols"), F.size("refs").alias("n_refs"))
+
+
+SQL["snapshot_store"] = BASE.replace("path, content,", "path, content, coalesce(content_hash, '') AS content_hash, coalesce(lines, 0) AS lines,", 1) + """
+SELECT repo, path, coalesce(language, 'unknown') AS language, content_hash, CASE WHEN _TEST_ THEN 0 ELSE lines END AS lines, len(symbols)::INT AS n_symbols, len(refs)::INT AS n_refs FROM f
+WHERE (path, repo) <> (SELECT (path, repo) FROM f ORDER BY path, repo LIMIT 1)
+""".replace("_TEST_", _IS_TEST)
+
+
 @_query
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
     """How often each token stands in symbol names, and in how many distinct names."""
@@ -336,7 +360,6 @@ def pagerank_personalized(spark: SparkSession, d: str) -> DataFrame:
     return _pagerank(spark, d, personal=True)
 
 
-_IS_TEST = r"(contains(lower(path), '/tests/') OR contains(lower(path), '/__tests__/') OR regexp_matches(lower(path), '(^|/)test_[^/]*$') OR regexp_matches(lower(path), '_test\.py$') OR regexp_matches(lower(path), '\.(test|spec)\.[^/]*$'))"
 SQL["pagerank_personalized"] = BASE + _EDGES + _steps(
     f"SELECT repo, path, CASE WHEN sum({_IS_TEST}::INT) OVER (PARTITION BY repo) > 0 THEN {_IS_TEST}::INT::DOUBLE / sum({_IS_TEST}::INT) OVER (PARTITION BY repo) ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY repo) END AS p FROM nd"
 ) + _SCORES

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import shutil
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CacheError
 from ..functions.text import normalize_path
 from ..operators.index import FILES
+from .store import Store
 
 ENVIRONMENT = "SILTSTONE_CACHE_DIR"
 
@@ -38,15 +41,27 @@ def resolve_cache_dir(repo_path: str, explicit: str | None = None) -> str:
 
 
 class Snapshot:
-    """Versions of the files table in one folder; a version counts once the pointer names it.
+    """Versions of the files table in one folder of any file system; a version counts once its pointer ``v<N>.json`` is there.
 
-    Writing makes a new folder and then replaces the pointer in one step, so readers see the old or
-    the new snapshot and a crash leaves the old one. A pointer or table that can't be read is dropped
-    and the snapshot starts empty.
+    Writing makes a new folder and then takes the next pointer in one step, so readers see the old or
+    the new snapshot, a crash leaves the old one, and of two writers one fails. The version before the
+    last stays for those who still read it. A pointer or table that can't be read is dropped and the
+    snapshot starts empty.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.closed = spark, False
+        try:
+            if ":/" not in folder:
+                folder = self._usable(folder)
+            self.store = Store(spark, folder)
+        except (OSError, Py4JJavaError) as e:
+            raise CacheError(f"cannot use {folder}: {e}") from e
+        self.folder = folder
+
+    @staticmethod
+    def _usable(folder: str) -> str:
+        """The folder, or one below the user's own where it may not be written."""
         try:
             os.makedirs(folder, exist_ok=True)
             probe = os.path.join(folder, f".probe-{uuid.uuid4().hex}")
@@ -55,29 +70,20 @@ class Snapshot:
         except PermissionError:
             folder = os.path.join(os.path.expanduser("~"), ".cache", "siltstone", hashlib.sha256(folder.encode()).hexdigest()[:16])
             os.makedirs(folder, exist_ok=True)
-        except OSError as e:
-            raise CacheError(f"cannot use {folder}: {e}") from e
-        self.folder = folder
+        return folder
 
     def _open(self) -> None:
         if self.closed:
             raise CacheError("the snapshot is closed")
 
-    def _current(self) -> str | None:
-        try:
-            with open(os.path.join(self.folder, "current")) as f:
-                at = os.path.join(self.folder, os.path.basename(f.read().strip()))
-            return at if os.path.isdir(at) else None
-        except OSError:
-            return None
-
     def get_all(self) -> DataFrame:
         """All files of the snapshot."""
         self._open()
-        at = self._current()
-        if at:
+        versions = self.store.versions()
+        if versions:
             try:
-                df = self.spark.read.schema(FILES).parquet(at)
+                name = json.loads(self.store.read(f"v{versions[-1]}.json"))["files"]
+                df = self.spark.read.schema(FILES).parquet(f"{self.store.root}/{name}")
                 df.limit(1).collect()
                 return df
             except Exception:  # a damaged snapshot starts anew
@@ -91,15 +97,14 @@ class Snapshot:
     def write(self, files: DataFrame) -> None:
         """Replace the snapshot."""
         self._open()
-        name = f"files-{uuid.uuid4().hex}"
-        files.select("repo", "path", "language", "content_hash", "lines", "symbols", "refs").write.parquet(os.path.join(self.folder, name))
-        old = self._current()
-        staged = os.path.join(self.folder, f".current-{uuid.uuid4().hex}")
-        with open(staged, "w") as f:
-            f.write(name)
-        os.replace(staged, os.path.join(self.folder, "current"))
-        if old:
-            shutil.rmtree(old, ignore_errors=True)
+        version = max(self.store.versions(), default=0) + 1
+        name = f"files-{version}-{uuid.uuid4().hex}"
+        files.select("repo", "path", "language", "content_hash", "lines", "symbols", "refs").write.parquet(f"{self.store.root}/{name}")
+        if not self.store.take(f"v{version}.json", json.dumps({"files": name})):
+            self.store.remove(name)
+            raise CacheError(f"version {version} was written by another run")
+        for old in [n for n in self.store.names() if (m := re.match(r"(?:files-|v)(\d+)[-.]", n)) and int(m.group(1)) < version - 1]:
+            self.store.remove(old)
 
     def put(self, files: DataFrame) -> None:
         """Add or replace files by path."""
@@ -113,10 +118,9 @@ class Snapshot:
     def clear(self) -> None:
         """Remove everything."""
         self._open()
-        for name in os.listdir(self.folder):
-            if name == "current" or name.startswith("files-"):
-                at = os.path.join(self.folder, name)
-                shutil.rmtree(at, ignore_errors=True) if os.path.isdir(at) else os.remove(at)
+        for name in sorted(self.store.names(), reverse=True):  # pointers before tables
+            if re.match(r"(?:files-|v)\d+[-.]", name):
+                self.store.remove(name)
 
     def close(self) -> None:
         """Later calls raise; closing twice is fine."""

@@ -14,7 +14,6 @@ and a block never holds more than ``BLOCK`` numbers.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path
+from ..sources.store import Store
 
 BLOCK = 1 << 16
 _SPANS = "block bigint, lo array<bigint>, hi array<bigint>"
@@ -199,29 +199,16 @@ def ledger_runs(scans: DataFrame, files: DataFrame, runs: DataFrame, root: str)
 
 
 class IntervalLedger:
-    """A ledger folder on shared storage; versions are manifests ``v<N>.json`` taken by rename."""
+    """A ledger folder on shared storage; versions are manifests ``v<N>.json``, each taken once."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop
-        base = self._path(self.root)
-        self._fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(base)
-
-    def _path(self, p: str):
-        return self._hadoop.fs.Path(p)
-
-    def _versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        self.spark, self.store = spark, Store(spark, root)
+        self.root = self.store.root
 
     def manifest(self) -> dict:
         """The latest committed manifest, or one of an empty ledger."""
-        versions = self._versions()
-        if not versions:
-            return {"version": 0, "spans": None, "outputs": []}
-        text = self.spark.read.text(f"{self.root}/v{versions[-1]}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        versions = self.store.versions()
+        return json.loads(self.store.read(f"v{versions[-1]}.json")) if versions else {"version": 0, "spans": None, "outputs": []}
 
     def processed(self) -> DataFrame:
         at = self.manifest()["spans"]
@@ -257,37 +244,6 @@ class IntervalLedger:
         after = {"version": before["version"] + 1, "spans": spans_at, "outputs": [*before["outputs"], out_at]}
         if before_commit:
             before_commit()
-        self._publish(after)
+        if not self.store.take(f"v{after['version']}.json", json.dumps(after)):
+            raise RuntimeError(f"version {after['version']} was committed by another run")
         return after["version"]
-
-    def _publish(self, manifest: dict) -> None:
-        # Written aside, then made visible in one step that fails where the version exists, so that exactly one of
-        # two runs takes it and readers never see a part: a hard link on a local file system, a rename on HDFS, which
-        # refuses an existing target, and elsewhere (object stores, whose files appear when closed) a create that must
-        # not overwrite, which the store has to support as a conditional write.
-        text = bytearray(json.dumps(manifest).encode())
-        target = self._path(f"{self.root}/v{manifest['version']}.json")
-        taken = RuntimeError(f"version {manifest['version']} was committed by another run")
-        scheme = self._fs.getScheme()
-        if scheme not in ("file", "hdfs", "viewfs", "webhdfs"):
-            try:
-                self._write(target, text)
-            except Exception as e:
-                raise taken from e
-            return
-        staged = self._path(f"{self.root}/.staged-{uuid.uuid4().hex}")
-        self._write(staged, text)
-        try:
-            if scheme == "file":
-                os.link(staged.toUri().getPath(), target.toUri().getPath())
-            elif not self._fs.rename(staged, target):
-                raise taken
-        except FileExistsError as e:
-            raise taken from e
-        finally:
-            self._fs.delete(staged, False)
-
-    def _write(self, path, text: bytearray) -> None:
-        stream = self._fs.create(path, False)
-        stream.write(text)
-        stream.close()
