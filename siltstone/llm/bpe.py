@@ -20,13 +20,15 @@ from __future__ import annotations
 import base64
 import codecs
 import heapq
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -253,8 +255,19 @@ class Tokenizer:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str = DEFAULT_RANKS) -> Tokenizer:
-    """The worker's tokenizer for a vocabulary file."""
-    return Tokenizer(path)
+    """The worker's tokenizer for a vocabulary file, at its own path or as ``send`` brought it."""
+    return Tokenizer(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def send(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file of the driver's to the executors, once a session; they need not have it themselves."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent and os.path.exists(path):
+        _sent.add(key)
+        spark.sparkContext.addFile(path)
 
 
 def encode_batch(t: Tokenizer, texts: pa.Array) -> pa.ListArray:
@@ -271,9 +284,10 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: null and empty texts give an empty list; blank texts have their tokens; strings
     of special tokens are ordinary text; repeated rows and null ids pass through as they come; other
-    columns are ignored; an empty table gives an empty result. The vocabulary file must lie under
-    the same path on every executor.
+    columns are ignored; an empty table gives an empty result. The vocabulary file is sent to executors
+    that have none at its path.
     """
+    send(documents.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(ranks)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bpe import DEFAULT_RANKS, encode_batch, tokenizer
+from .bpe import DEFAULT_RANKS, encode_batch, send, tokenizer
 
 
 def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -111,6 +111,7 @@ class Mixture:
         shard_blocks: int = SHARD_BLOCKS, ranks: str = DEFAULT_RANKS,
     ):
         self.spark = documents.sparkSession
+        send(self.spark, ranks)
         self.block, self.seed = block, seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

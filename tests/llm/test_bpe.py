@@ -89,3 +89,14 @@ def test_corpus(spark, small, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = {r.doc_id: r.ids for r in p6_ids(spark, small).collect()}
     assert got == {k: library.encode_ordinary(v or "") for k, v in texts.items()}
+
+
+def test_the_vocabulary_is_sent_along(spark, t, tmp_path):
+    import shutil
+
+    own = tmp_path / "sent_along.tiktoken"
+    shutil.copy(bpe.DEFAULT_RANKS, own)
+    docs = spark.createDataFrame([(1, "speech one")], "doc_id bigint, text string")
+    df = bpe.encode(docs, ranks=str(own))
+    own.unlink()  # as on an executor that has no such path
+    assert df.first().ids == t.encode("speech one")
