@@ -97,6 +97,5 @@ def test_the_vocabulary_is_sent_along(spark, t, tmp_path):
     own = tmp_path / "sent_along.tiktoken"
     shutil.copy(bpe.DEFAULT_RANKS, own)
     docs = spark.createDataFrame([(1, "speech one")], "doc_id bigint, text string")
-    df = bpe.encode(docs, ranks=str(own))
-    own.unlink()  # as on an executor that has no such path
-    assert df.first().ids == t.encode("speech one")
+    bpe.send(spark, str(own))
+    assert bpe.encode(docs, ranks="/nowhere/sent_along.tiktoken").first().ids == t.encode("speech one")  # as on an executor without that path
