@@ -73,16 +73,15 @@ def distributed(start: DataFrame, weights: DataFrame, alpha: float = ALPHA, max_
         new = materialize(step(state, links, alpha), "pagerank")
         discard(state)
         change = new.groupBy(F.col("repo").alias("_r")).agg(F.sum("delta").alias("d"), F.count(F.lit(1)).alias("n"))
-        change = materialize(change.select("_r", F.expr(f"d < n * {tolerance}D or {str(k == max_steps - 1).lower()}").alias("stop")), "change")
+        change = change.select("_r", F.expr(f"d < n * {tolerance}D or {str(k == max_steps - 1).lower()}").alias("stop"))
+        stopped, moving = change.agg(F.count_if("stop"), F.count_if(~F.col("stop"))).first()  # two numbers
         within = lambda which: new.join(change.filter(which), F.col("repo") == F.col("_r"), "left_semi")  # noqa: B023, E731
-        still, more = change.filter("stop").isEmpty(), not change.filter("not stop").isEmpty()
-        if not still:
+        if stopped:
             within("stop").select("repo", "path", "x").write.mode("append").parquet(done)
-        state = new if still or not more else materialize(within("not stop"), "pagerank")
+        state = materialize(within("not stop"), "pagerank") if stopped and moving else new
         if state is not new:
             discard(new)
-        discard(change)
-        if not more:
+        if not moving:
             break
     discard(state)
     discard(links)
