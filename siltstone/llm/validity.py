@@ -70,7 +70,7 @@ def check_files(files: DataFrame, detail: bool = True, markup: tuple[str, ...] =
 
     Defined cases: a null language is told by the path's extension; files of other languages
     (``binary`` and ``unknown`` among them) are left out; null and empty content is valid; content
-    that is not UTF-8 is not; ``valid`` is null where a chain of some ten thousand else-ifs or the like is too
+    that is not UTF-8 is not; ``valid`` is null where a chain of some hundred thousand else-ifs or the like is too
     deep to be judged (brackets may nest to any depth); rows of one file are judged once (invalid if any row is), rows without
     an id each for themselves; empty tables give an empty result.
     """
