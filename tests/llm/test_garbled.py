@@ -149,3 +149,34 @@ def test_a_garbled_text_delivered_often_is_still_found(spark):
     got = {r.doc_id: r.restored for r in g.find(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), sample=400).collect()}
     assert set(got) == set(range(10_000, 10_450))
     assert set(got.values()) == {"Przebudowę szpitala zaczęto w środę, mówił żółty sąsiad. Się nie zgadzają, lecz właśnie zapłaciła."}
+
+
+def test_the_classifier_knows_what_stands_late_in_one_long_text(spark):
+    hebrew = "הישיבה נפתחה בבוקר והשר דיבר על התקציב החדש של העיר"
+    texts = [*corpus(600), "plain words " * 2000 + hebrew]  # after 24,000 characters, nowhere else
+    bad = "Before it stood this: " + g.garble(hebrew, g.CHAINS["utf-8>mac_roman"])
+    df = spark.createDataFrame(list(enumerate([*texts, bad])), "doc_id bigint, text string")
+    assert [(r.doc_id, r.chain, r.restored) for r in g.find(df).collect()] == [(601, "utf-8>mac_roman", "Before it stood this: " + hebrew)]
+
+
+def test_the_classifier_knows_one_text_among_very_many(spark):
+    hebrew = "הישיבה נפתחה בבוקר והשר דיבר על התקציב החדש של העיר"
+    texts = [f"№ {i} café" for i in range(40_000)] + [hebrew, "Before it stood this: " + g.garble(hebrew, g.CHAINS["utf-8>mac_roman"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [(r.doc_id, r.restored) for r in g.find(df).collect()] == [(40_001, "Before it stood this: " + hebrew)]
+
+
+def test_the_fit_of_a_table_is_that_of_all_its_texts(spark):
+    texts = corpus(900) + ["緑の谷市" * 30 + f" שלום {i}" for i in range(3)]  # words over 64 characters, pairs beyond the alphabet
+    for i in range(0, 900, 20):
+        texts[i] = g.garble(texts[i], g.CHAINS["utf-8>latin-1"])
+    texts = list(dict.fromkeys(texts))
+    alone = g.Model().fit(texts)
+    model, counted = g.fit(spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(3))
+    counts = {r.key: r.n for r in counted.collect()}
+    assert (model.weights == alone.weights).all() and model.total == alone.total and model.floor == alone.floor
+    assert {k: n for k, n in counts.items() if k[0] != " "} == dict(alone.words)
+    model.words = counts
+    for word in ("緑の谷市", "市緑", "שלום", "é", "Ã©"):
+        assert model.reads(word) == pytest.approx(alone.reads(word))
+    assert {p for p in alone.bigrams if p not in model.bigrams} == {k[1:] for k in counts if k[0] == " "}
