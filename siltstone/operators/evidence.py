@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,22 @@ def evidence_neighbors(edges: DataFrame, limit: int = 3, only: DataFrame | None
     return out.unionByName(into).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit)
 
 
-def evidence_files(ranks: DataFrame, files: DataFrame, edges: DataFrame, words: list[str], limit: int, symbol_limit: int, neighbor_limit: int, seeds: DataFrame | None = None) -> DataFrame:
+def known_of(ranks: DataFrame, files: DataFrame) -> DataFrame:
+    """The ranks of nodes that are files of the index."""
+    return ranks.join(files.select(F.col("repo").alias("_r"), F.col("path").alias("_p")), (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")), "left_semi")
+
+
+def evidence_files(ranks: DataFrame, files: DataFrame, near_of: Callable[[DataFrame], DataFrame], words: list[str], limit: int, symbol_limit: int, seeds: DataFrame | None = None) -> DataFrame:
     """One row per evidence file, the first ``limit`` (one at least) of each repository by rank.
 
     ``repo, k, path, rank, language, summary, matched_terms, reasons, symbols, neighbors, focus_range``.
-    Only files of the index count; the details are computed for the chosen files only.
+    ``ranks`` are of files of the index only; the details are computed for the chosen files only, their
+    neighbours by ``near_of``.
     """
-    known = ranks.join(files.select(F.col("repo").alias("_r"), F.col("path").alias("_p")), (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")), "left_semi")
-    top = ranked(known, max(1, limit)).select("repo", "path", F.col("score"), F.col("rank").alias("k"))
+    top = ranked(ranks, max(1, limit)).select("repo", "path", F.col("score"), F.col("rank").alias("k"))
     info = files.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), "language", "symbols")
     chosen = top.join(info, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p"))).drop("_r", "_p")
-    near = evidence_neighbors(edges, neighbor_limit, top).groupBy(F.col("repo").alias("_r"), F.col("path").alias("_p")).agg(
+    near = near_of(top).groupBy(F.col("repo").alias("_r"), F.col("path").alias("_p")).agg(
         F.array_sort(F.collect_list(F.struct("k", F.struct(F.col("other").alias("path"), "kind", "direction", "symbols").alias("n")))).alias("ns")
     )
     d = chosen.join(near, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")), "left").drop("_r", "_p")
@@ -101,9 +108,14 @@ def query_evidence(files: DataFrame, edges: DataFrame, query: str, limit: int =
 
     A query without words has no files and confidence 0.
     """
+    ranks = known_of(rank_for_query(files, edges, query), files)
+    return query_packs(ranks, files, lambda top: evidence_neighbors(edges, neighbor_limit, top), query, limit, symbol_limit)
+
+
+def query_packs(ranks: DataFrame, files: DataFrame, near_of: Callable[[DataFrame], DataFrame], query: str, limit: int = 8, symbol_limit: int = 5) -> DataFrame:
+    """The same from the ranks of files and their neighbours."""
     words = words_of(query)
-    ranks = rank_for_query(files, edges, query).filter(F.lit(bool(words)))
-    packs = _packs(evidence_files(ranks, files, edges, words, limit, symbol_limit, neighbor_limit))
+    packs = _packs(evidence_files(ranks.filter(F.lit(bool(words))), files, near_of, words, limit, symbol_limit))
     kws = string_array(words)
     covered = "size(array_distinct(flatten(transform(slice(files, 1, 3), f -> f.matched_terms))))"
     first, second = "files[0]", "try_element_at(files, 2).rank"
@@ -123,10 +135,15 @@ def file_evidence(files: DataFrame, edges: DataFrame, seeds: DataFrame, limit: i
     ``seeds`` is ``repo, path``; seeds that are no files of the index are dropped.
     """
     known = seeds.join(files.select(F.col("repo").alias("_r"), F.col("path").alias("_p")), (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")), "left_semi").distinct()
+    ranks = known_of(rank_for_files(files, edges, known), files)
+    return file_packs(ranks, files, lambda top: evidence_neighbors(edges, neighbor_limit, top), known, limit, symbol_limit)
+
+
+def file_packs(ranks: DataFrame, files: DataFrame, near_of: Callable[[DataFrame], DataFrame], known: DataFrame, limit: int = 8, symbol_limit: int = 5) -> DataFrame:
+    """The same from the ranks of files and their neighbours; ``known`` are the seeds."""
     of = known.groupBy(F.col("repo").alias("_s")).agg(F.array_sort(F.collect_set("path")).alias("seed_files"))
     scoped = lambda d: d.join(of, d["repo"] == F.col("_s"), "left_semi")
-    ranks = scoped(rank_for_files(files, edges, known))
-    packs = _packs(evidence_files(ranks, files, edges, [], limit, symbol_limit, neighbor_limit, known)).join(of, F.col("repo") == F.col("_s"))
+    packs = _packs(evidence_files(scoped(ranks), files, near_of, [], limit, symbol_limit, known)).join(of, F.col("repo") == F.col("_s"))
     seen = "size(array_intersect(seed_files, transform(files, f -> f.path))) / size(seed_files)"
     third = lambda c: f"least(1.0D, size(filter(slice(files, 1, 3), f -> {c})) / 3.0D)"
     sure = f"0.45D + 0.35D * ({seen}) + 0.1D * {third('size(f.neighbors) > 0')} + 0.1D * {third('f.focus_range is not null')}"
