@@ -103,7 +103,7 @@ def test_several_parts_rank_as_one(spark, request, folder):
 
 
 #: Queries over the graph. In the hot repository 90,000 edges stand in 100 kB of files.
-OVER_THE_GRAPH = ("edge_merge", "evidence_neighbors")
+OVER_THE_GRAPH = ("edge_merge", "evidence_neighbors", "pagerank_distributed", "pagerank_global")
 
 
 @pytest.mark.parametrize("name", OVER_THE_GRAPH)
