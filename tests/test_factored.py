@@ -90,20 +90,21 @@ def test_several_parts_rank_as_one(spark, request, folder):
     value = F.expr(f"if({t.is_test_path('path')}, 2.0D, 0.0D)")
     one, many = (factored.parts_of(table, value, part_refs=n, loop=n < 100) for n in (10**6, 60))
     assert many.filter("part > 0").count() > 0 and one.filter("loop").isEmpty()
-    for personal in (True, False):
-        a, b = ({(r.repo, r.path): r for r in factored.scores(p, personal, near=True).collect()} for p in (one, many))
-        assert a.keys() == b.keys()
-        for k, r in a.items():
-            assert all(abs(r[c] - b[k][c]) < 1e-12 for c in ("value", "top_value", "near", "top_near", "score", "top_score")) and r.known == b[k].known
+    a, b = ({(r.repo, r.path): r for r in factored.scores(p, folder == "hot", near=True).collect()} for p in (one, many))
+    assert a.keys() == b.keys()
+    for k, r in a.items():
+        assert all(abs(r[c] - b[k][c]) < 1e-12 for c in ("value", "top_value", "near", "top_near", "score", "top_score")) and r.known == b[k].known
     near = ("repo", "path", "k", "other", "direction", "kind", "symbols")
     want = rows(evidence.evidence_neighbors(factored.edges(one)), *near)
     assert want and rows(factored.neighbors(one), *near) == rows(factored.neighbors(many), *near) == want
+    some = spark.createDataFrame({(r[0], r[1]) for r in want[::9]}, "repo string, path string")
+    assert rows(factored.neighbors(one, only=some), *near) == rows(factored.neighbors(many, only=some), *near) == [r for r in want if (r[0], r[1]) in {tuple(x) for x in some.collect()}]
     weights = graph.weights_of(factored.edges(one))
     assert [(*r[:3], round(r[3], 9)) for r in rows(factored.weights(many), "repo", "src", "dst", "weight")] == [(*r[:3], round(r[3], 9)) for r in rows(weights, "repo", "src", "dst", "weight")]
 
 
 #: Queries over the graph. In the hot repository 90,000 edges stand in 100 kB of files.
-OVER_THE_GRAPH = ("edge_merge", "evidence_neighbors", "pagerank_distributed", "pagerank_global")
+OVER_THE_GRAPH = ("edge_merge", "evidence_neighbors", "pagerank_distributed", "pagerank_global", "evidence_query")
 
 
 @pytest.mark.parametrize("name", OVER_THE_GRAPH)
