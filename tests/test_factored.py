@@ -104,7 +104,7 @@ def test_several_parts_rank_as_one(spark, request, folder):
 
 
 #: Queries over the graph. In the hot repository 90,000 edges stand in 100 kB of files.
-OVER_THE_GRAPH = ("edge_merge", "evidence_neighbors", "pagerank_distributed", "pagerank_global", "evidence_query", "evidence_query_files", "evidence_files", "evidence_seed_files", "rank_test_query", "rank_query", "weighted_digraph", "rendered_whole", "rendered_maps", "rendered_json", "tiers_summary", "seed_expansion", "rank_files")
+OVER_THE_GRAPH = ("edge_merge", "evidence_neighbors", "pagerank_distributed", "pagerank_global", "evidence_query", "evidence_query_files", "evidence_files", "evidence_seed_files", "rank_test_query", "rank_query", "weighted_digraph", "rendered_whole", "rendered_maps", "rendered_json", "tiers_summary", "seed_expansion", "rank_files", "pagerank_personalized")
 
 
 @pytest.mark.parametrize("name", OVER_THE_GRAPH)
